@@ -87,9 +87,9 @@ def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray,
         row = to
 
 
-def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each run of bytes other than white space, and the first word of each text (and their number)."""
-    inside = ~SPACE[raw]
+def words(raw: np.ndarray, off: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each run of bytes other than ``gap``, and the first word of each text (and their number)."""
+    inside = ~gap[raw]
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
     firsts = off[:-1][np.diff(off) > 0]
@@ -121,6 +121,7 @@ def fold(doc_id: Column, of: int) -> Column:
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches that stay small even where all texts are long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def strings(values: list) -> pa.Array:
