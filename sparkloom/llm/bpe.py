@@ -61,8 +61,8 @@ def encode(enc, text: str) -> list[int]:
     return [i for x in pieces(text) for i in enc.encode_ordinary(x)]
 
 
-def encode_decode(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids (array<int>, if asked for), decoded (the text that the ids decode to), and digests of both.
+def encode_decode(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = True, with_bytes: bool = True) -> DataFrame:
+    """doc_id, n_tokens, digests of ids and decoded bytes and, if asked for, ids (array<int>) and decoded (the bytes).
 
     Works by row: no shuffle, and memory for one batch of rows.
     """
@@ -81,14 +81,18 @@ def encode_decode(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool
                 back_hash.append(hashlib.sha256(raw).hexdigest())
                 if with_ids:
                     all_ids.append(ids)
+                if with_bytes:
                     back.append(raw)
             columns = [batch.column("doc_id"), pa.array(n, pa.int64()), blocks.strings(ids_hash), blocks.strings(back_hash)]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(back, pa.binary())]
-                names += ["ids", "decoded"]
+                columns.append(pa.array(all_ids, pa.list_(pa.int32())))
+                names.append("ids")
+            if with_bytes:
+                columns.append(pa.array(back, pa.binary()))
+                names.append("decoded")
             yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded binary" * with_bytes
     return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -31,6 +31,8 @@ SAMPLE_DOCS, SAMPLE_BYTES = 60, 48_000
 #: At most so many languages, the most frequent ones, are learned.
 MAX_LANGS = 200
 SEGMENT = 1024
+#: The least score of a text whose language counts as known.
+ACCEPT = 0.02
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -168,20 +170,8 @@ def predict(docs: DataFrame, model: Model, keep: list[str] = ()) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)  # at most MAX_LANGS tables of 2 * SAMPLE_BYTES states
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
-            lang, score = [], []
-            for row, raw, off in blocks.texts(batch.column("text")):
-                low, at = normalise(raw, off)
-                cost = m.parse(low, at) if m.langs else np.zeros((len(at) - 1, 0))
-                some = np.diff(at) > 0
-                for i in np.flatnonzero(some & ~_ascii_letter(raw, off)):
-                    some[i] = any(map(str.isalpha, bytes(raw[off[i] : off[i + 1]]).decode("utf-8", "replace")))
-                best = cost.argmin(1) if m.langs else np.zeros(len(some), int)
-                two = np.sort(cost, 1)[:, :2]
-                sure = np.clip(2 * (1 - two[:, 0] / np.maximum(two[:, 1], 1e-9)), 0, 1) if len(m.langs) > 1 else np.ones(len(some))
-                lang += [m.langs[b] if s and m.langs else "und" for b, s in zip(best, some)]
-                score += [float(x) if s and m.langs else 0.0 for x, s in zip(sure, some)]
+            lang, score = _judge(shared.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [blocks.strings(lang), pa.array(score, pa.float64())], kept + ["lang_pred", "score"])
 
     kept = ["doc_id", *keep]
@@ -190,6 +180,36 @@ def predict(docs: DataFrame, model: Model, keep: list[str] = ()) -> DataFrame:
     return docs.select(*kept, *(["text"] if "text" not in kept else [])).mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, model: Model, least: float = ACCEPT) -> DataFrame:
+    """The rows, all their columns, whose text has a language (not ``und``) with a score of at least ``least``."""
+    spark = docs.sparkSession
+    blocks.small_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, score = _judge(shared.value, batch.column("text"))
+            yield batch.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _judge(m: Model, column: pa.Array) -> tuple[list[str], list[float]]:
+    lang, score = [], []
+    for _, raw, off in blocks.texts(column):
+        low, at = normalise(raw, off)
+        cost = m.parse(low, at) if m.langs else np.zeros((len(at) - 1, 0))
+        some = np.diff(at) > 0
+        for i in np.flatnonzero(some & ~_ascii_letter(raw, off)):
+            some[i] = any(map(str.isalpha, bytes(raw[off[i] : off[i + 1]]).decode("utf-8", "replace")))
+        best = cost.argmin(1) if m.langs else np.zeros(len(some), int)
+        two = np.sort(cost, 1)[:, :2]
+        sure = np.clip(2 * (1 - two[:, 0] / np.maximum(two[:, 1], 1e-9)), 0, 1) if len(m.langs) > 1 else np.ones(len(some))
+        lang += [m.langs[b] if s and m.langs else "und" for b, s in zip(best, some)]
+        score += [float(x) if s and m.langs else 0.0 for x, s in zip(sure, some)]
+    return lang, score
+
+
 def _ascii_letter(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     count = np.zeros(len(raw) + 1, np.int64)
     np.cumsum(_LETTER[raw] & (raw < 128), out=count[1:])

@@ -55,7 +55,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and of decoded bytes, for every document."""
     import public_tokenizers
 
-    return bpe.encode_decode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+    return bpe.encode_decode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False, with_bytes=False)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

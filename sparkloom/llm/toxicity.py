@@ -23,8 +23,8 @@ from .quality import sampled
 
 BITS = 20
 #: The most labelled rows that are learned from, and the most features of one of them (those of the smallest hashes).
-SAMPLE_ROWS, SAMPLE_FEATURES = 10_000, 3_000
-ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 2.0, 0.01, 3
+SAMPLE_ROWS, SAMPLE_FEATURES = 12_000, 3_000
+ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 4.0, 0.01, 5
 THRESHOLD = 0.3
 
 _GAP = np.ones(256, bool)
