@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from . import blocks
 
-#: Rows of a chunk, and of a staged file.
-CHUNK_ROWS, FILE_ROWS = 1000, 20_000
+#: The most rows of a chunk, bytes of text in one (of more than one row), and rows of a staged file.
+CHUNK_ROWS, CHUNK_BYTES, FILE_ROWS = 1000, 8 << 20, 20_000
+SIZE = "_bytes"
 #: Bytes of text for each shard.
 SHARD_BYTES = 16 << 20
 BLOBS = "file int, chunk int, shard int, blob binary"
@@ -64,11 +65,11 @@ class Staged:
         self.spark, self.folder = docs.sparkSession, folder
         blocks.small_batches(self.spark)
         at = f"{folder}/texts"
-        docs.write.option("maxRecordsPerFile", FILE_ROWS).option("compression", "zstd").parquet(at)
+        docs.withColumn(SIZE, F.coalesce(F.octet_length("text"), F.lit(0))).write.option("maxRecordsPerFile", FILE_ROWS).option("compression", "zstd").parquet(at)
         p = self.spark._jvm.org.apache.hadoop.fs.Path(at)
         listed = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(p)
         self.paths = sorted(x.getPath().toString() for x in listed if x.getPath().getName().endswith(".parquet"))
-        self.bytes = self.spark.read.parquet(at).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        self.bytes = self.spark.read.parquet(at).agg(F.coalesce(F.sum(SIZE), F.lit(0))).first()[0]
         self.shards = max(8, -(-self.bytes // SHARD_BYTES))
 
     def tasks(self, answers: list[DataFrame]) -> DataFrame:
@@ -142,11 +143,19 @@ def packed(rows: Iterable[tuple], schema: str, limit: int = 8 << 20) -> Iterator
         yield batch()
 
 
-def chunks(path: str, columns: list[str] | None = None) -> Iterator[pa.RecordBatch]:
-    """The chunks of a staged file, always the same ones."""
+def chunks(path: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """The chunks of a staged file, always the same ones, with the columns asked for."""
+    import numpy as np
     import pyarrow.parquet as pq
     from pyarrow import fs
 
     system, at = fs.FileSystem.from_uri(path)
     with system.open_input_file(at) as f:
-        yield from pq.ParquetFile(f).iter_batches(CHUNK_ROWS, columns=columns)
+        for batch in pq.ParquetFile(f).iter_batches(CHUNK_ROWS, columns=[*columns, SIZE]):
+            end = np.cumsum(batch.column(SIZE).to_numpy())
+            wanted = batch.select(columns)
+            row, done = 0, 0
+            while row < len(end):
+                to = max(row + 1, int(np.searchsorted(end, done + CHUNK_BYTES, side="right")))
+                yield wanted.slice(row, to - row)
+                row, done = to, int(end[to - 1])

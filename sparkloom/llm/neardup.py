@@ -261,7 +261,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def representatives(docs: DataFrame) -> DataFrame:
     """One row, all its columns, of each class: that of the smallest doc_id. Rows without words all stay."""
-    spark = docs.sparkSession
+    spark, columns = docs.sparkSession, docs.columns
     staged = Staged(docs, shared_folder(spark))
     with tidy_shuffles(spark):
         rows, nodes = _classes(staged)
@@ -272,7 +272,7 @@ def representatives(docs: DataFrame) -> DataFrame:
         answers = spark.read.schema(ANSWERS).parquet(path)
 
     def work(_: int, path: str, own: Answers) -> Iterator[pa.RecordBatch]:
-        for c, batch in enumerate(chunks(path)):
+        for c, batch in enumerate(chunks(path, columns)):
             blob = own.get(("drop", c, 0))
             if blob is not None:
                 keep = np.ones(batch.num_rows, bool)

@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocks, bpe, decontaminate, html, knn, langid, neardup, quality, suffixes, toxicity
+from . import blocks, bpe, decontaminate, html, knn, langid, neardup, ngrams, quality, suffixes, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by a model of nine folds in ten."""
+    return ngrams.score(documents(spark, sf_dir), blocks.fold(F.col("doc_id"), 10) == 0)
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in which a test item was found, with the item and the overlaps."""
     return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -73,6 +78,7 @@ def op10_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngrams": op1_ngrams,
     "op2_decontaminate": op2_decontaminate,
     "op3_langid": op3_langid,
     "op4_suffixes": op4_suffixes,

@@ -309,7 +309,7 @@ def digests(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def work(_: int, path: str, own: Answers) -> Iterator[pa.RecordBatch]:
-        for c, batch in enumerate(chunks(path)):
+        for c, batch in enumerate(chunks(path, ["doc_id", "text", DIGEST])):
             yield _digests(batch, c, own, shards)
 
     out = f"{staged.folder}-digests"
@@ -330,7 +330,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     schema = docs.schema
 
     def work(_: int, path: str, own: Answers) -> Iterator[pa.RecordBatch]:
-        for c, batch in enumerate(chunks(path)):
+        for c, batch in enumerate(chunks(path, [*names, DIGEST])):
             text = []
             for _, raw, off, gone in _cut(batch, c, own, shards):
                 text += [raw[a:b][~gone[a:b]].tobytes().decode("utf-8", "ignore") for a, b in zip(off[:-1], off[1:])]
