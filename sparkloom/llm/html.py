@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from . import blocks
 
 WINDOW = 3
-#: Characters in a window that make a surge; where no window has as many, the fullest ones do.
+#: Characters in a window that make a surge; where no window has as many, the fullest ones do; in a marked article any text does.
 SURGE_CHARS = 60
 
 _GONE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|head|noscript|template|svg|iframe|textarea|select|button|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>", re.S | re.I)
@@ -49,8 +49,8 @@ def _boilerplate(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int]]:
-    """The page's lines of text, each with the length that the distribution counts for it."""
+def lines(page: str) -> tuple[list[tuple[str, int]], bool]:
+    """The page's lines of text, each with the length that the distribution counts for it; whether the page marks its article."""
     page = _GONE.sub(" ", page)
     tags = [(m.start(), m.end(), bool(m[1]), m[2].lower(), m[3]) for m in _TAG.finditer(page)]
     closes: dict[str, int] = {}
@@ -96,15 +96,15 @@ def lines(page: str) -> list[tuple[str, int]]:
     if at < len(page):
         text.append(page[at:])
     flush()
-    return [(line, n if inside or not had_article else 0) for line, n, inside in out]
+    return [(line, n if inside or not had_article else 0) for line, n, inside in out], had_article
 
 
 def main_text(page: str | None) -> str:
     """The text between surge and dive points, its lines joined by a space."""
-    found = lines(page or "")
+    found, marked = lines(page or "")
     n = [x for _, x in found]
     ahead = [sum(n[i : i + WINDOW]) for i in range(len(n))]
-    surge = min(SURGE_CHARS, max(ahead, default=0))
+    surge = 1 if marked else min(SURGE_CHARS, max(ahead, default=0))
     kept, inside = [], False
     for (line, length), total in zip(found, ahead):
         inside = total > 0 and (inside or total >= surge)
