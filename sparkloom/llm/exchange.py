@@ -24,7 +24,7 @@ from . import blocks
 
 #: The most rows of a chunk, bytes of text in one (of more than one row), and rows of a staged file.
 CHUNK_ROWS, CHUNK_BYTES, FILE_ROWS = 1000, 8 << 20, 20_000
-SIZE = "_bytes"
+SIZE = "__sparkloom_bytes"
 #: Bytes of text for each shard.
 SHARD_BYTES = 16 << 20
 BLOBS = "file int, chunk int, shard int, blob binary"

@@ -39,7 +39,7 @@ COVER = (0, 1, 3, 13, 32, 36, 43, 52)
 SAMPLE = WINDOW - PERIOD + 1
 #: Ranges of buckets that are sorted one after another.
 PASSES = 4
-DIGEST = "_digest"
+DIGEST = "__sparkloom_digest"
 
 _IN_COVER = np.zeros(PERIOD, bool)
 _IN_COVER[list(COVER)] = True
