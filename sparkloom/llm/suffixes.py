@@ -341,3 +341,18 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in names], names)
 
     return staged.run(answers, work, schema)
+
+
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, pos, substr(h, CAST(2 * pos + 1 AS BIGINT), 200) AS s FROM (SELECT doc_id, h, unnest(range(greatest(n - 99, 0))) AS pos FROM d)),
+o AS (SELECT doc_id, pos, min(doc_id * 100000000 + pos) OVER (PARTITION BY s) AS first FROM w),
+r AS (SELECT doc_id, pos, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 100 THEN 0 ELSE 1 END AS begins FROM o WHERE doc_id * 100000000 + pos > first),
+g AS (SELECT doc_id, pos, sum(begins) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM r),
+runs AS (SELECT doc_id, run, min(pos) AS a, max(pos) + 100 AS b FROM g GROUP BY doc_id, run),
+c AS (SELECT doc_id, run, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY run), 0) AS before FROM runs),
+k AS (SELECT c.doc_id, sum(b - a) AS gone, count(*) AS spans, max(b) AS stop, string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY run) AS head FROM c JOIN d USING (doc_id) GROUP BY c.doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, CAST(2 * coalesce(stop, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
