@@ -281,3 +281,24 @@ def representatives(docs: DataFrame) -> DataFrame:
             yield batch
 
     return staged.run([answers], work, docs.schema)
+
+
+#: No two sets of weights have a probability Jaccard above the sum of the smaller of their shares, which picks the pairs that are worth the exact formula.
+ORACLE_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \t\n\x0b\x0c\r]+'), lambda v: v <> '') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM t),
+c AS (SELECT doc_id, g, count(*) AS x FROM s GROUP BY 1, 2),
+m AS (SELECT doc_id, md5(string_agg(g || ':' || x, '|' ORDER BY g)) AS node FROM c GROUP BY 1),
+n AS (SELECT node, min(doc_id) AS rep, count(*) AS size FROM m GROUP BY 1),
+k AS (SELECT c.doc_id AS id, g, CAST(x AS DOUBLE) AS x, x / sum(x) OVER (PARTITION BY c.doc_id) AS share FROM c JOIN n ON c.doc_id = n.rep),
+p AS (SELECT a.id AS a, b.id AS b FROM k a JOIN k b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2 HAVING sum(least(a.share, b.share)) >= 0.7999),
+u AS (SELECT a, b, g, max(x) AS x, max(y) AS y FROM (SELECT a, b, g, x, 0 AS y FROM p JOIN k ON id = a UNION ALL SELECT a, b, g, 0, x FROM p JOIN k ON id = b) GROUP BY 1, 2, 3),
+j AS (SELECT i.a, i.b, i.g, 1 / sum(greatest(o.x / i.x, o.y / i.y)) AS part FROM u i JOIN u o ON i.a = o.a AND i.b = o.b WHERE i.x > 0 AND i.y > 0 GROUP BY 1, 2, 3),
+l AS (SELECT a, b FROM j GROUP BY 1, 2 HAVING sum(part) >= 0.8 - 1e-12),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT rep AS id, rep AS root FROM n UNION SELECT r.id, e.b FROM r JOIN e ON r.root = e.a),
+f AS (SELECT id, min(root) AS class_id FROM r GROUP BY 1),
+z AS (SELECT class_id, sum(size) AS class_size FROM f JOIN n ON n.rep = f.id GROUP BY 1)
+SELECT m.doc_id, class_id, CAST(class_size AS BIGINT) AS class_size FROM m JOIN n USING (node) JOIN f ON f.id = n.rep JOIN z USING (class_id)
+UNION ALL SELECT doc_id, doc_id, 1 FROM t WHERE w IS NULL OR len(w) = 0
+"""

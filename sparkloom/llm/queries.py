@@ -90,4 +90,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_knn": op10_knn,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_suffixes": suffixes.ORACLE_SQL, "op10_knn": knn.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_suffixes": suffixes.ORACLE_SQL, "op5_neardup": neardup.ORACLE_SQL, "op10_knn": knn.ORACLE_SQL}
