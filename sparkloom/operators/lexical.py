@@ -8,8 +8,6 @@ aggregated by (query, chunk), and only the best ``k`` rows of each query sort.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -59,8 +57,8 @@ def search(index: DataFrame, totals: DataFrame, query: DataFrame, k: int, allowe
         head = lambda c: F.substring(c, 1, 2)
         long_, short = stems.where(F.length("stem") >= 2), stems.where(F.length("stem") < 2)
         terms = index.select("term").distinct()
-        matched = terms.join(F.broadcast(long_), (head(F.col("term")) == head(F.col("stem"))) & F.col("term").startswith(F.col("stem")))
-        matched = matched.unionByName(terms.join(F.broadcast(short), (F.substring("term", 1, 1) == F.col("stem"))))
+        matched = terms.join(long_, (head(F.col("term")) == head(F.col("stem"))) & F.col("term").startswith(F.col("stem")))
+        matched = matched.unionByName(terms.join(short, (F.substring("term", 1, 1) == F.col("stem"))))
     else:
         matched = stems.withColumn("term", F.col("stem"))
     by_stem = index.join(matched, "term").groupBy("stem", "chunk_id", "dl").agg(F.sum("tf").alias("f"))
@@ -69,12 +67,8 @@ def search(index: DataFrame, totals: DataFrame, query: DataFrame, k: int, allowe
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / (F.col("total") / F.col("n"))))
     needed = query.groupBy("query_id").agg(F.count("*").alias("needed"))
-    scored = hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"), F.count("*").alias("got")).join(F.broadcast(needed), "query_id").where("got = needed")
+    scored = hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"), F.count("*").alias("got")).join(needed, "query_id").where("got = needed")
     if allowed is not None:
         scored = scored.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
     best = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank")
-
-
-def tokens_of(queries: Iterator[str]) -> list[list[str]]:
-    return [tokenize(q) for q in queries]

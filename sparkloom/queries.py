@@ -596,7 +596,7 @@ def percentiles(spark, d):
     """Nearest-rank percentiles, by ranks and counts rather than by lists."""
     rows = table(spark, d, "events").where("value is not null")
     n = rows.groupBy("event_type").agg(F.count("*").alias("n"))
-    ranked = rows.withColumn("r", F.row_number().over(W.partitionBy("event_type").orderBy("value"))).join(F.broadcast(n), "event_type")
+    ranked = rows.withColumn("r", F.row_number().over(W.partitionBy("event_type").orderBy("value"))).join(n, "event_type")
     at = lambda p: F.max(F.when(F.col("r") == F.round(F.lit(p) * (F.col("n") - 1)) + 1, F.col("value")))
     return ranked.groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
 
