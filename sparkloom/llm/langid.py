@@ -31,8 +31,8 @@ SAMPLE_DOCS, SAMPLE_BYTES = 60, 48_000
 #: At most so many languages, the most frequent ones, are learned.
 MAX_LANGS = 200
 SEGMENT = 1024
-#: The least score of a text whose language counts as known.
-ACCEPT = 0.02
+#: The least mean length of the best language's phrases, in bytes, of a text that counts as language: noise has shorter ones.
+ACCEPT = 2.0
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -171,7 +171,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] = ()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score = _judge(shared.value, batch.column("text"))
+            lang, score, _ = _judge(shared.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [blocks.strings(lang), pa.array(score, pa.float64())], kept + ["lang_pred", "score"])
 
     kept = ["doc_id", *keep]
@@ -181,21 +181,25 @@ def predict(docs: DataFrame, model: Model, keep: list[str] = ()) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, least: float = ACCEPT) -> DataFrame:
-    """The rows, all their columns, whose text has a language (not ``und``) with a score of at least ``least``."""
+    """The rows, all their columns, whose text has a language: not ``und``, and cut into phrases of ``least`` bytes or more on average.
+
+    How close two languages come doesn't matter: short texts, and texts in two languages, stay.
+    """
     spark = docs.sparkSession
     blocks.small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score = _judge(shared.value, batch.column("text"))
-            yield batch.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score)], pa.bool_()))
+            lang, _, size = _judge(shared.value, batch.column("text"))
+            yield batch.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, size)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def _judge(m: Model, column: pa.Array) -> tuple[list[str], list[float]]:
-    lang, score = [], []
+def _judge(m: Model, column: pa.Array) -> tuple[list[str], list[float], list[float]]:
+    """Language, score, and mean bytes of the best language's phrases, of each text."""
+    lang, score, size = [], [], []
     for _, raw, off in blocks.texts(column):
         low, at = normalise(raw, off)
         cost = m.parse(low, at) if m.langs else np.zeros((len(at) - 1, 0))
@@ -207,7 +211,9 @@ def _judge(m: Model, column: pa.Array) -> tuple[list[str], list[float]]:
         sure = np.clip(2 * (1 - two[:, 0] / np.maximum(two[:, 1], 1e-9)), 0, 1) if len(m.langs) > 1 else np.ones(len(some))
         lang += [m.langs[b] if s and m.langs else "und" for b, s in zip(best, some)]
         score += [float(x) if s and m.langs else 0.0 for x, s in zip(sure, some)]
-    return lang, score
+        phrases = cost[np.arange(len(best)), best] / np.array(m.weights)[best] if m.langs else np.ones(len(some))
+        size += (np.diff(at) / np.maximum(phrases, 1)).tolist()
+    return lang, score, size
 
 
 def _ascii_letter(raw: np.ndarray, off: np.ndarray) -> np.ndarray:

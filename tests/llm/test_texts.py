@@ -138,6 +138,17 @@ def test_language_of_awkward_rows(spark, docs, crowded, empty):
     assert langid.predict(empty, model).count() == 0
     kept = langid.accepted(crowded, model)
     assert kept.columns == crowded.columns and all(any(c.isalpha() for c in r["text"]) for r in kept.collect())
+    assert langid.accepted(docs, none).count() == 0
+
+
+def test_filter_keeps_short_and_mixed_texts_and_drops_noise(spark):
+    rows = languages()
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = langid.fit(docs, F.lit(True))
+    short, mixed = rows[0][1][:12], rows[0][1] + " " + rows[1][1]
+    more = spark.createDataFrame([(1, short, None, "s", 1), (2, mixed, None, "s", 1), (3, "xwqz vkpt zxqw " * 9, None, "s", 1), (4, "12 34", None, "s", 1), (5, None, None, "s", 1)], SCHEMA)
+    assert {r["doc_id"] for r in langid.accepted(more, model).collect()} == {1, 2}
+    assert langid.accepted(docs, model).count() == 60
 
 
 # --- quality and toxicity
