@@ -29,6 +29,7 @@ SIZE = "__sparkloom_bytes"
 SHARD_BYTES = 16 << 20
 BLOBS = "file int, chunk int, shard int, blob binary"
 ANSWERS = "tag string, file int, chunk int, shard int, blob binary"
+KEEP = -1
 Answers = dict[tuple[str, int, int], bytes]
 
 
@@ -102,6 +103,7 @@ class Staged:
         """The answers to what ``emit`` sends as (chunk, shard, blob), as a table in the shared folder.
 
         ``judge`` gets all blobs of a shard and the (file, chunk) of each, in their order, and returns an answer, or None, for each.
+        A blob for the shard KEEP comes back as it is.
         """
         shards = shards or self.shards
 
@@ -115,11 +117,11 @@ class Staged:
                     by[shard].append((file, chunk, blob))
             for shard in sorted(by):
                 rows = sorted(by.pop(shard), key=lambda r: r[:2])
-                replies = judge([r[2] for r in rows], [r[:2] for r in rows])
+                replies = [r[2] for r in rows] if shard == KEEP else judge([r[2] for r in rows], [r[:2] for r in rows])
                 yield from packed(((tag, r[0], r[1], shard, a) for r, a in zip(rows, replies) if a is not None), ANSWERS)
 
         out = f"{self.folder}/{tag}"
-        sent = self.run(answers, send, BLOBS).repartitionById(shards, F.col("shard"))
+        sent = self.run(answers, send, BLOBS).repartitionById(shards, F.when(F.col("shard") == KEEP, F.pmod(F.hash("file", "chunk"), F.lit(shards))).otherwise(F.col("shard")).cast("int"))
         sent.mapInArrow(answer, ANSWERS).write.parquet(out)
         return self.spark.read.schema(ANSWERS).parquet(out)
 

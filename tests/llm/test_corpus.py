@@ -170,11 +170,20 @@ def test_components(spark, seed):
 # --- n-grams
 
 
+def test_distinct():
+    r = np.random.default_rng(1)
+    for n in (0, 1, 1000, 50_000):
+        names = blocks.mix(r.integers(0, max(n // 3, 1), n).astype(np.uint64))
+        names[::7] &= blocks.U(0xFFFF)  # one slot for many
+        found, which = ngrams.distinct(names)
+        assert len(np.unique(found)) == len(found) and (found[which] == names).all()
+
+
 def scored(rows: list[tuple], tested: int) -> list[tuple]:
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     toks = [(i, re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)) + [None]) for i, t in rows]
     held = [zlib.crc32(str("" if i is None else i).encode()) % tested == 0 for i, _ in toks]
-    lengths = sorted({m for r, _ in zip(ngrams.rounds(), range(20)) for m in r})
+    lengths = sorted({m for r, _ in zip(ngrams.rounds(), range(12)) for m in r})
     count = collections.defaultdict(collections.Counter)
     for (_, t), h in zip(toks, held):
         if not h:
