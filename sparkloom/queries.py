@@ -213,19 +213,24 @@ def _vectors(spark, d) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
-def _cosine(spark, d, k: int) -> DataFrame:
-    """Every vector whose id is divisible by 50 against all, in blocks of queries."""
-    rows = _vectors(spark, d)
+def _in_blocks(spark, rows: DataFrame, find: Callable[[list], DataFrame]) -> DataFrame:
+    """What ``find`` answers to every vector whose id is divisible by 50, in blocks of queries."""
     asked = rows.where(F.col("id") % 50 == 0)
     parts = -(-asked.count() // BLOCK)
     out = spark.createDataFrame([], "query_id long, id long, similarity double, rank int")
     for p in range(parts):
         block = asked.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == p).orderBy("id").collect()
         if block:
-            out = out.unionByName(dense.exact(rows, [(r["id"], r["vector"]) for r in block], k))
+            out = out.unionByName(find([(r["id"], r["vector"]) for r in block]))
     return out
 
 
+def _cosine(spark, d, k: int) -> DataFrame:
+    """The queries against all vectors."""
+    rows = _vectors(spark, d)
+    return _in_blocks(spark, rows, lambda block: dense.exact(rows, block, k))
+
+
 _COSINE = """
 cs AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS s FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0),
 cr AS (SELECT query_id, id, s, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS BIGINT) AS rank FROM cs WHERE s > 0 QUALIFY rank <= 48)
@@ -243,8 +248,7 @@ def ann_full_probe(spark, d):
     """V3-V7: an inverted-file index that probes all of its lists finds what the scan finds."""
     rows = _vectors(spark, d)
     index = dense.build(rows, 16)
-    asked = rows.where(F.col("id") % 50 == 0).orderBy("id").limit(BLOCK).collect()
-    found = index.search([(r["id"], r["vector"]) for r in asked], 48, 16)
+    found = _in_blocks(spark, rows, lambda block: index.search(block, 48, 16))
     return found.select("query_id", "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 

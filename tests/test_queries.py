@@ -37,6 +37,15 @@ def test_query(spark, sf, db, name):
     assert lines(got, columns) == lines(want, columns)
 
 
+@pytest.mark.parametrize("name", ["ann_full_probe", "cosine_topk"])
+def test_more_queries_than_a_block(spark, sf, db, monkeypatch, name):
+    monkeypatch.setattr(catalogue, "BLOCK", 3)
+    want = db.sql(catalogue.SQL[name]).df()
+    assert want["query_id"].nunique() > 3
+    columns = sorted(want.columns)
+    assert lines(catalogue.QUERIES[name](spark, sf).toPandas(), columns) == lines(want, columns)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
