@@ -22,8 +22,8 @@ from . import blocks
 from .quality import sampled
 
 BITS = 20
-#: The most labelled rows that are learned from, and the most features of one of them (those of the smallest hashes).
-SAMPLE_ROWS, SAMPLE_FEATURES = 12_000, 3_000
+#: The most labelled rows that are learned from, each with all of its features.
+SAMPLE_ROWS = 12_000
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 4.0, 0.01, 5
 THRESHOLD = 0.3
 
@@ -88,7 +88,7 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, train: Column, rows: int = SAMPLE_ROWS) -> Model:
-    """Learns on the driver from at most ``rows`` * SAMPLE_FEATURES hashes."""
+    """Learns on the driver from all hashes of at most ``rows`` texts: 4 bytes for each distinct one of a text, so 4 * 2**BITS at most."""
     blocks.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, train: Column, rows: int
             for _, raw, off in blocks.texts(batch.column("text")):
                 text, at = grams(raw, off)
                 key = np.unique((text.astype(np.int64) << BITS) | at)
-                lists += [x[:SAMPLE_FEATURES].astype(np.int32) for x in np.split(key & ((1 << BITS) - 1), np.searchsorted(key >> BITS, np.arange(1, len(off) - 1)))]
+                lists += [x.astype(np.int32) for x in np.split(key & ((1 << BITS) - 1), np.searchsorted(key >> BITS, np.arange(1, len(off) - 1)))]
             packed = pa.array([x.tobytes() for x in lists], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_label"), packed], ["doc_id", "y", "x"])
 

@@ -192,6 +192,20 @@ def test_toxicity_of_held_out_texts(marked):
     assert right >= 230 and 0 < len(model.at) < 1 << toxicity.BITS
 
 
+def test_toxicity_learns_all_features_of_long_texts(spark):
+    def hashed(word):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        return int(toxicity.grams(raw, np.array([0, len(raw)]))[1][0])
+
+    marker = max((f"gruk{i}" for i in range(500)), key=hashed)  # behind nearly all others
+    r = random.Random(9)
+    rows = [(i, " ".join([f"w{r.randrange(5000)}" for _ in range(2500)] + [marker] * (i % 2)), "en", "s", 1) for i in range(80)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(80)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(spark.createDataFrame(rows, SCHEMA), labels, "toxic", F.lit(True))
+    at = np.flatnonzero(model.at == hashed(marker))
+    assert len(at) == 1 and model.weight[at[0]] > 0
+
+
 @pytest.mark.parametrize("module,label", [(quality, "quality"), (toxicity, "toxic")])
 def test_classifiers_of_awkward_rows(spark, docs, crowded, empty, marked, module, label):
     _, labels, _ = marked
