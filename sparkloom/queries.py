@@ -132,7 +132,7 @@ def hashing_embedding(spark, d):
 def lsa_projection(spark, d):
     """A model trained on all documents, and their vectors."""
     rows = _docs(spark, d)
-    model = embed.train(rows, Config(lsa_dim=32, lsa_max_vocab=2048), power=2)
+    model = embed.train(rows, Config())
     return embed.embedded(rows, model)
 
 

@@ -2,14 +2,19 @@
 
 import importlib
 import os
+import random
 import sys
+from collections import Counter
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
 from sparkloom import queries as catalogue
+from sparkloom.config import Config
+from sparkloom.operators import embed
 
 
 @pytest.fixture(scope="module")
@@ -46,6 +51,33 @@ def test_more_queries_than_a_block(spark, sf, db, monkeypatch, name):
     assert lines(catalogue.QUERIES[name](spark, sf).toPandas(), columns) == lines(want, columns)
 
 
+def test_lsa_projection_is_the_whole_model(spark, tmp_path):
+    r = random.Random(4)
+    texts = [" ".join(r.choices([f"w{k}" for k in range(3000)], k=80)) for _ in range(200)]
+    texts += [f"rare{k} rare{k + 1}" for k in range(20)]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = np.array([x["vector"] for x in catalogue.lsa_projection(spark, str(tmp_path)).orderBy("id").collect()])
+    df = Counter(w for t in texts for w in set(t.split()))
+    terms = sorted((w for w in df if df[w] >= 2), key=lambda w: (-df[w], w))
+    assert 2048 < len(terms) <= Config().lsa_max_vocab and Config().lsa_dim == 128
+    tf = np.zeros((len(terms), len(texts)))
+    at = {w: i for i, w in enumerate(terms)}
+    for j, t in enumerate(texts):
+        for w, c in Counter(t.split()).items():
+            if w in at:
+                tf[at[w], j] = c
+    a = np.log1p(tf) * np.log(1 + len(texts) / np.array([df[w] for w in terms]))[:, None]
+    y = a @ embed._gaussian_rows(np.arange(len(texts)), 136)
+    for _ in range(4):
+        y = a @ (a.T @ (y / np.abs(y).max()))
+    q = np.linalg.qr(y[:, np.argsort(-(y**2).sum(0), kind="stable")[:128]])[0]
+    want = np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0).T @ q
+    size = np.linalg.norm(want, axis=1, keepdims=True)
+    want = np.divide(want, size, out=np.zeros_like(want), where=size > 0)
+    assert got.shape == want.shape == (220, 128) and np.abs(got[200:]).any(1).all()
+    assert np.allclose(got @ got.T, want @ want.T, atol=1e-3)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
