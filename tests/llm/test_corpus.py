@@ -226,6 +226,24 @@ def test_ngrams(spark, seed):
     check_scores(got, scored([(i, t) for i, t, *_ in rows], 3), lambda g: g[1])
 
 
+def test_ngrams_find_the_longest_context(spark):
+    rows = [(i, t) for i, t, *_ in corpus(6, 40)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 0
+    one, other = next(i for i in range(1000, 2000) if not held(i)), next(i for i in range(1000, 2000) if held(i))
+    passage = " ".join(f"passage{k}" for k in range(15))
+    rows += [(one, f"a b {passage} c"), (other, f"d e {passage} f"), (other + 2000, passage)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA).repartition(3)
+    got = ngrams.score(docs, blocks.fold(F.col("doc_id"), 3) == 0).collect()
+    toks = {i: t.lower().split() for i, t in rows}
+    train = [w for i, w in toks.items() if not held(i)]
+    seen = {tuple(w[a:b]) for w in train for a in range(len(w)) for b in range(a + 1, len(w) + 1)}
+    for r in got:
+        w = toks[r["doc_id"]]
+        assert r["longest"] == max((b - a for b in range(len(w) + 1) for a in range(b) if tuple(w[a:b]) in seen), default=0), r
+    assert {r["doc_id"]: r["longest"] for r in got}[other] == 15
+    check_scores(got, scored(rows, 3), lambda g: True)
+
+
 def test_ngrams_of_awkward_rows(spark, crowded, empty):
     got = ngrams.score(crowded.where("doc_id is null or doc_id <> 11"), blocks.fold(F.col("doc_id"), 3) == 0).collect()
     rows = [(i, t) for i, t, *_ in awkward() if i != 11]
