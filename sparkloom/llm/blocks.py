@@ -7,6 +7,7 @@ task's memory doesn't depend on how many rows a batch has.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,12 +15,21 @@ import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+pa.set_memory_pool(pa.system_memory_pool())  # gives back what it doesn't need any more
 U = np.uint64
 BLOCK_BYTES = 2 << 20
 _PRIME = U(0x9E3779B97F4A7C15)
 _INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, at the end of a task: workers live on."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def _table(seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(0, 2**64, 256, dtype=U) | U(1)
 
@@ -105,6 +115,34 @@ def word_names(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix(spans(prefix(BYTE[raw]), start, end))
 
 
+_slots: list[np.ndarray] = [np.zeros(1 << 16, np.int32)]
+
+
+def distinct(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the last of each distinct name stands, and which of them each name is.
+
+    The last name that falls into a slot of a table stands for its equals; names that another one displaced, with
+    all their equals, are few, and those are sorted.
+    """
+    n = len(names)
+    bits = max(16, int(4 * n - 1).bit_length())
+    if len(_slots[0]) < 1 << bits:
+        _slots[0] = np.zeros(1 << bits, np.int32)
+    at = np.arange(n, dtype=np.int32)
+    slot = (names >> U(64 - bits)).astype(np.int32)
+    _slots[0][slot] = at
+    stand = _slots[0][slot]
+    lost = np.flatnonzero(names[stand] != names)
+    if len(lost):
+        order = np.argsort(names[lost], kind="stable")
+        row = lost[order]
+        new = np.append(True, names[row[1:]] != names[row[:-1]])
+        stand[row] = row[np.append(new[1:], True)][np.cumsum(new) - 1]
+    own = stand == at
+    number = np.cumsum(own) - 1
+    return np.flatnonzero(own), number[stand]
+
+
 def lower(raw: np.ndarray) -> np.ndarray:
     """Lower-case letters for A-Z and the capitals of the second Latin block of UTF-8."""
     out = LOWER[raw]

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import blocks
 from .components import components
-from .exchange import ANSWERS, Answers, Staged, chunks, drop_folder, shared_folder, tidy_shuffles
+from .exchange import ANSWERS, Answers, Staged, chunks, drop_folder, pack, shared_folder, tidy_shuffles
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 5
@@ -151,11 +151,12 @@ def _rows_asked(tag: str, rows: DataFrame) -> DataFrame:
     """Rows (file, chunk, row, more columns of long) as answers to their files: one blob a chunk."""
     more = [c for c in rows.columns if c not in ("file", "chunk", "row")]
 
-    def pack(t: pa.Table) -> pa.Table:
+    def packed(t: pa.Table) -> pa.Table:
         columns = [t.column(c).cast(pa.int64()).to_numpy() for c in ("row", *more)]
-        return pa.table([[tag], pa.array([t.column("file")[0].as_py()], pa.int32()), pa.array([t.column("chunk")[0].as_py()], pa.int32()), pa.array([0], pa.int32()), [np.column_stack(columns).tobytes()]], names=["tag", "file", "chunk", "shard", "blob"])
+        file, chunk = t.column("file")[0].as_py(), t.column("chunk")[0].as_py()
+        return pa.table([[tag], pa.array([file], pa.int32()), pa.array([1], pa.int64()), [pack([(file, chunk, 0, np.column_stack(columns).tobytes())])]], names=["tag", "file", "asks", "blob"])
 
-    return rows.groupBy("file", "chunk").applyInArrow(pack, ANSWERS)
+    return rows.groupBy("file", "chunk").applyInArrow(packed, ANSWERS)
 
 
 def _texts(staged: Staged, wanted: DataFrame) -> DataFrame:
@@ -163,7 +164,7 @@ def _texts(staged: Staged, wanted: DataFrame) -> DataFrame:
 
     def work(_: int, path: str, own: Answers) -> Iterator[pa.RecordBatch]:
         for c, batch in enumerate(chunks(path, ["text"])):
-            blob = own.get(("text", c, 0))
+            blob = own.of("text", c).get(0)
             if blob is not None:
                 rows = np.frombuffer(blob, np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[:, 1]), batch.column("text").take(pa.array(rows[:, 0]))], ["node", "text"])
@@ -273,7 +274,7 @@ def representatives(docs: DataFrame) -> DataFrame:
 
     def work(_: int, path: str, own: Answers) -> Iterator[pa.RecordBatch]:
         for c, batch in enumerate(chunks(path, columns)):
-            blob = own.get(("drop", c, 0))
+            blob = own.of("drop", c).get(0)
             if blob is not None:
                 keep = np.ones(batch.num_rows, bool)
                 keep[np.frombuffer(blob, np.int64)] = False

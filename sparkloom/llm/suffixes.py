@@ -39,7 +39,8 @@ COVER = (0, 1, 3, 13, 32, 36, 43, 52)
 SAMPLE = WINDOW - PERIOD + 1
 #: Ranges of buckets that are sorted one after another.
 PASSES = 4
-DIGEST = "__sparkloom_digest"
+DIGEST, ORDER, LAST = "__sparkloom_digest", "__sparkloom_order", "__sparkloom_last"
+COLUMNS = [DIGEST, ORDER, LAST]
 
 _IN_COVER = np.zeros(PERIOD, bool)
 _IN_COVER[list(COVER)] = True
@@ -51,27 +52,27 @@ def _split(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
-def _bits(answers: Answers, tag: str, chunk: int, shards: int, order: np.ndarray, at: np.ndarray) -> np.ndarray | None:
-    """What the shards said of each item, in the items' order; None if they said nothing."""
-    out = None
-    for s in range(shards):
-        a = answers.get((tag, chunk, s))
-        if a is not None:
-            if out is None:
-                out = np.zeros(len(order), bool)
-            n = at[s + 1] - at[s]
-            out[order[at[s] : at[s + 1]]] = np.unpackbits(np.frombuffer(a, np.uint8), count=n).astype(bool)
+def _bits(answers: Answers, tag: str, chunk: int, order: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """What the shards said of each item, in the items' order."""
+    out = np.zeros(len(order), bool)
+    for s, a in answers.of(tag, chunk).items():
+        n = at[s + 1] - at[s]
+        out[order[at[s] : at[s + 1]]] = np.unpackbits(np.frombuffer(a, np.uint8), count=n).astype(bool)
     return out
 
 
+def _order(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in the order of the ids, and which rows come after all others."""
+    return batch.column(ORDER).to_numpy(), batch.column(LAST).to_numpy(zero_copy_only=False)
+
+
 # --- whole copies
 
 
 def _firsts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Digests (n x 2), ids, null ids, and which rows are the first of their digest in the chunk."""
     digest = np.frombuffer(b"".join(x or b"\0" * 16 for x in batch.column(DIGEST).to_pylist()), np.uint64).reshape(-1, 2)
-    null = ~batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-    ids = batch.column("doc_id").cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+    ids, null = _order(batch)
     order = np.lexsort((np.arange(len(ids)), ids, null, digest[:, 1], digest[:, 0]))
     first = np.ones(len(ids), bool)
     first[order[1:]] = (digest[order[1:]] != digest[order[:-1]]).any(1)
@@ -84,9 +85,7 @@ def _copies(batch: pa.RecordBatch, chunk: int, answers: Answers, shards: int) ->
     sent = np.flatnonzero(first)
     order, at = _split((digest[sent, 0] % blocks.U(shards)).astype(np.int64), shards)
     copy = ~first
-    said = _bits(answers, "copies", chunk, shards, order, at)
-    if said is not None:
-        copy[sent] = said
+    copy[sent] = _bits(answers, "copies", chunk, order, at)
     return copy
 
 
@@ -94,7 +93,7 @@ def _find_copies(staged: Staged) -> DataFrame:
     shards = staged.shards
 
     def emit(path: str, _: Answers) -> Iterator[tuple[int, int, bytes]]:
-        for c, batch in enumerate(chunks(path, ["doc_id", DIGEST])):
+        for c, batch in enumerate(chunks(path, COLUMNS)):
             digest, ids, null, first = _firsts(batch)
             sent = np.flatnonzero(first)
             order, at = _split((digest[sent, 0] % blocks.U(shards)).astype(np.int64), shards)
@@ -135,27 +134,39 @@ def _sample_names(batch: pa.RecordBatch, copy: np.ndarray) -> np.ndarray:
     return np.concatenate(names)
 
 
+class _Sampled:
+    """The distinct names of a chunk's sample: which name each suffix has, their order by shard, and which occur again in the chunk."""
+
+    def __init__(self, batch: pa.RecordBatch, copy: np.ndarray, shards: int):
+        name = _sample_names(batch, copy)
+        at, self.which = blocks.distinct(name)
+        self.name = name[at]
+        self.again = np.bincount(self.which, minlength=len(at)) > 1
+        self.order, self.at = _split(((self.name >> blocks.U(40)) % blocks.U(shards)).astype(np.int64), shards)
+
+
 def _rank_sample(staged: Staged, copies: DataFrame) -> DataFrame:
     shards = staged.shards
 
     def emit(path: str, answers: Answers) -> Iterator[tuple[int, int, bytes]]:
-        for c, batch in enumerate(chunks(path, ["doc_id", "text", DIGEST])):
-            name = _sample_names(batch, _copies(batch, c, answers, shards))
-            order, at = _split(((name >> blocks.U(40)) % blocks.U(shards)).astype(np.int64), shards)
-            low = name[order].view(np.uint8).reshape(-1, 8)[:, :5]
-            for s in np.flatnonzero(np.diff(at)):
-                yield c, int(s), low[at[s] : at[s + 1]].tobytes()
+        for c, batch in enumerate(chunks(path, ["doc_id", "text", *COLUMNS])):
+            sample = _Sampled(batch, _copies(batch, c, answers, shards), shards)
+            low, again = sample.name[sample.order].view(np.uint8).reshape(-1, 8)[:, :5], sample.again[sample.order]
+            for s in np.flatnonzero(np.diff(sample.at)):
+                k = slice(sample.at[s], sample.at[s + 1])
+                yield c, int(s), np.int64(k.stop - k.start).tobytes() + low[k].tobytes() + np.packbits(again[k]).tobytes()
 
     def judge(blobs: list[bytes], _: list) -> list[bytes | None]:
-        low = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 5)
-        name = np.zeros((len(low), 8), np.uint8)
-        name[:, :5] = low
+        sizes = [int(np.frombuffer(b, np.int64, 1)[0]) for b in blobs]
+        name = np.zeros((sum(sizes), 8), np.uint8)
+        name[:, :5] = np.frombuffer(b"".join(b[8 : 8 + 5 * n] for b, n in zip(blobs, sizes)), np.uint8).reshape(-1, 5)
         name = name.view(np.uint64).ravel()
+        again = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8, offset=8 + 5 * n), count=n) for b, n in zip(blobs, sizes)]).astype(bool)
         ranked = np.sort(name)
-        tied = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
+        tied = np.unique(np.concatenate([ranked[1:][ranked[1:] == ranked[:-1]], name[again]]))
         where = np.searchsorted(tied, name)
         flags = tied[np.minimum(where, len(tied) - 1)] == name if len(tied) else np.zeros(len(name), bool)
-        return _reply(flags, [len(b) // 5 for b in blobs])
+        return _reply(flags, sizes)
 
     return staged.ask("sample", [copies], emit, judge)
 
@@ -171,11 +182,10 @@ class _Tied:
         empty = np.zeros(0, np.int64)
         self.row = self.place = empty
         self.name, self.more = np.zeros(0, blocks.U), np.zeros(0, np.uint32)
-        if not any(("sample", chunk, s) in answers for s in range(shards)):
+        if not answers.of("sample", chunk):
             return
-        name = _sample_names(batch, self.copy)
-        order, at = _split(((name >> blocks.U(40)) % blocks.U(shards)).astype(np.int64), shards)
-        said = _bits(answers, "sample", chunk, shards, order, at)
+        sample = _Sampled(batch, self.copy, shards)
+        said = _bits(answers, "sample", chunk, sample.order, sample.at)[sample.which]
         parts, done = [], 0
         for row, raw, off in blocks.texts(batch.column("text")):
             where, s = _sample(raw, off, self.copy[row : row + len(off) - 1])
@@ -197,24 +207,42 @@ class _Tied:
         if parts:
             self.row, self.place, self.name, self.more = map(np.concatenate, zip(*parts))
 
-    def of_pass(self, k: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The suffixes of a pass, the order that sorts them by shard, and where each shard begins."""
+        ids, null = _order(batch)
+        rank = np.empty(batch.num_rows, np.int64)
+        rank[np.lexsort((np.arange(batch.num_rows), ids, null))] = np.arange(batch.num_rows)
+        self.rank = rank
+
+    def of_pass(self, k: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of a pass: the suffixes that an earlier place of the chunk has too; the others, their order by shard, and where each shard begins.
+
+        Only the first of equal suffixes of a chunk travels, so neither repetitions nor hot passages fill a bucket.
+        """
         bucket = self.name % blocks.U(shards * PASSES)
         mine = np.flatnonzero(bucket // blocks.U(shards) == k)
-        order, at = _split((bucket[mine] % blocks.U(shards)).astype(np.int64), shards)
-        return mine, order, at
+        rank = self.rank[self.row[mine]] if len(mine) else mine
+        if (np.diff(rank) < 0).any():
+            mine = mine[np.argsort(rank, kind="stable")]
+        back = mine[::-1]
+        at, which = blocks.distinct(self.name[back])
+        if (self.more[back][at][which] != self.more[back]).any():  # different suffixes of one name
+            _, number = np.unique(np.column_stack([self.name[back], self.more[back]]), axis=0, return_inverse=True)
+            at, which = blocks.distinct(blocks.mix(number.ravel().astype(blocks.U)))
+        first = np.zeros(len(mine), bool)
+        first[at] = True
+        again, mine = np.sort(back[~first]), np.sort(back[first])
+        order, begin = _split((bucket[mine] % blocks.U(shards)).astype(np.int64), shards)
+        return again, mine, order, begin
 
 
 def _sort_pass(staged: Staged, known: list[DataFrame], k: int) -> DataFrame:
     shards = staged.shards
 
     def emit(path: str, answers: Answers) -> Iterator[tuple[int, int, bytes]]:
-        for c, batch in enumerate(chunks(path, ["doc_id", "text", DIGEST])):
+        for c, batch in enumerate(chunks(path, ["doc_id", "text", *COLUMNS])):
             tied = _Tied(batch, c, answers, shards)
-            mine, order, at = tied.of_pass(k, shards)
+            _, mine, order, at = tied.of_pass(k, shards)
             mine = mine[order]
-            null = ~batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-            ids = batch.column("doc_id").cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+            ids, null = _order(batch)
             for s in np.flatnonzero(np.diff(at)):
                 m = mine[at[s] : at[s + 1]]
                 row, size = np.unique(tied.row[m], return_counts=True)
@@ -258,9 +286,10 @@ def _cut(batch: pa.RecordBatch, chunk: int, answers: Answers, shards: int) -> It
     tied = _Tied(batch, chunk, answers, shards)
     repeated = np.zeros(len(tied.row), bool)
     for k in range(PASSES):
-        if any((f"pass{k}", chunk, s) in answers for s in range(shards)):
-            mine, order, at = tied.of_pass(k, shards)
-            repeated[mine] = _bits(answers, f"pass{k}", chunk, shards, order, at)
+        if len(tied.row):
+            again, mine, order, at = tied.of_pass(k, shards)
+            repeated[again] = True
+            repeated[mine] = _bits(answers, f"pass{k}", chunk, order, at)
     row, place = tied.row[repeated], tied.place[repeated]
     for first, raw, off in blocks.texts(batch.column("text")):
         n = np.diff(off)
@@ -293,7 +322,10 @@ def _digests(batch: pa.RecordBatch, chunk: int, answers: Answers, shards: int) -
 
 def _solve(docs: DataFrame) -> tuple[Staged, list[DataFrame]]:
     spark = docs.sparkSession
-    staged = Staged(docs.withColumn(DIGEST, F.unhex(F.md5(F.col("text").cast("binary")))), shared_folder(spark))
+    number = dict(docs.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint")
+    order, last = (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull()) if number else (F.lit(0).cast("long"), F.lit(False))
+    rows = docs if number else docs.orderBy(F.col("doc_id").asc_nulls_last())  # then the order of the files is that of the ids
+    staged = Staged(rows.withColumns({DIGEST: F.unhex(F.md5(F.col("text").cast("binary"))), ORDER: order, LAST: last}), shared_folder(spark))
     with tidy_shuffles(spark):
         copies = _find_copies(staged)
         known = [copies, _rank_sample(staged, copies)]
@@ -309,7 +341,7 @@ def digests(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def work(_: int, path: str, own: Answers) -> Iterator[pa.RecordBatch]:
-        for c, batch in enumerate(chunks(path, ["doc_id", "text", DIGEST])):
+        for c, batch in enumerate(chunks(path, ["doc_id", "text", *COLUMNS])):
             yield _digests(batch, c, own, shards)
 
     out = f"{staged.folder}-digests"
@@ -330,7 +362,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     schema = docs.schema
 
     def work(_: int, path: str, own: Answers) -> Iterator[pa.RecordBatch]:
-        for c, batch in enumerate(chunks(path, [*names, DIGEST])):
+        for c, batch in enumerate(chunks(path, [*names, *COLUMNS])):
             text = []
             for _, raw, off, gone in _cut(batch, c, own, shards):
                 text += [raw[a:b][~gone[a:b]].tobytes().decode("utf-8", "ignore") for a, b in zip(off[:-1], off[1:])]
