@@ -17,8 +17,8 @@ from sparkloom.session import ship
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach; texts without letters, and noise, go."""
-    model = langid.fit(docs, blocks.fold(F.col("doc_id"), 5) != 0)
-    return langid.accepted(docs, model) if model.langs else docs
+    models = langid.fit(docs, blocks.fold(F.col("doc_id"), 5) != 0)
+    return langid.accepted(docs, models) if models else docs
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,11 +4,15 @@ Each match of the split pattern is merged by itself, as tiktoken does. Long
 texts are cut first at safe boundaries: a match never holds a white-space
 character after another kind of character, and the pattern looks ahead only
 within white space, so a cut between a non-space and a following white-space
-character leaves the matches as they were. Runs without such a boundary are
-left whole.
+character leaves the matches as they were. Runs of white space of BLANK_CHARS
+and more, on which the pattern's look-ahead would exhaust the stack, are matched
+here: all but the last character before a word is one match, and at the end of
+the text the whole run. Runs of one kind without a boundary are left whole.
 
 Null texts count as empty: no tokens, and the hashes of nothing. Special
-tokens' strings are ordinary text. Rows keep their multiplicity.
+tokens' strings are ordinary text. Rows keep their multiplicity; more columns
+are ignored; an empty table gives an empty result; texts of any length are
+encoded whole.
 """
 
 from __future__ import annotations
@@ -26,6 +30,9 @@ from . import blocks
 #: Characters after which a text is cut at the next safe boundary.
 PIECE_CHARS = 1 << 16
 _SAFE = re.compile(r"(?<=[^\s\x1c-\x1f\x85])(?=[ \n\t])")
+#: White space as the pattern has it; runs of so many characters are taken out of long texts.
+BLANK_CHARS = 4096
+_BLANK = re.compile(f"[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{{{BLANK_CHARS},}}")
 _coders: dict[tuple[str, str], tuple] = {}
 
 
@@ -58,7 +65,13 @@ def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
 def encode(enc, text: str) -> list[int]:
     if len(text) <= PIECE_CHARS:
         return enc.encode_ordinary(text)
-    return [i for x in pieces(text) for i in enc.encode_ordinary(x)]
+    ids, at = [], 0
+    for m in _BLANK.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        ids += [i for x in pieces(text[at : m.start()]) for i in enc.encode_ordinary(x)]
+        ids += enc._encode_single_piece(text[m.start() : end])
+        at = end
+    return ids + [i for x in pieces(text[at:]) for i in enc.encode_ordinary(x)]
 
 
 def encode_decode(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = True, with_bytes: bool = True) -> DataFrame:

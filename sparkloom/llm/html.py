@@ -1,15 +1,22 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines (one per block element), the text lengths of
-WINDOW lines from each line on are summed, and the text between a surge point
-(the first window above the threshold) and the next dive point (the first
-window without text) is kept. Lines of menus, page headers, footers, sidebars,
-notices, adverts, forms and comments, lines that only link elsewhere, and,
-where the page marks its article, all lines outside it, count as having no text.
-
-Null and empty pages give an empty text; rows keep their multiplicity; markup
-that never closes is read as text or, for scripts and comments, dropped with
-the rest of the page.
+Markup is stripped into lines (one per block element) and the text lengths of
+WINDOW lines from each line on are summed. A run of windows with text surges
+where the sum rises from 0 and dives where it falls back to 0; runs of which the
+peak reaches the threshold are kept. The threshold is SURGE_CHARS or, on a page
+of short lines, the page's own peak. Lines of menus, page headers, footers,
+sidebars, notices, adverts, forms and comments, lines that mostly link
+elsewhere, and, where the page marks its article, all lines outside it, count as
+having no text: lengths alone can't tell a short paragraph from a long advert.
+
+Names of classes, ids and roles are a hint that text outweighs: an element that
+holds the page's heading and most of its text is no boilerplate whatever it is
+called, and if nothing is left, the names are ignored.
+
+Null and empty pages give an empty text; rows keep their multiplicity, equal
+ones their own results; markup that never closes is read as text or, for scripts
+and comments, dropped with the rest of the page. Pages of any length are read
+whole; an empty table gives an empty result; more columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +31,7 @@ from pyspark.sql import DataFrame
 from . import blocks
 
 WINDOW = 3
-#: Characters in a window that make a surge; where no window has as many, the fullest ones do; in a marked article any text does.
+#: Characters in a window that make a surge; where no window has as many, the fullest ones do.
 SURGE_CHARS = 60
 
 _GONE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|head|noscript|template|svg|iframe|textarea|select|button|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>", re.S | re.I)
@@ -39,35 +46,49 @@ _WORDS = frozenset(
 )
 
 
-def _boilerplate(name: str, attributes: str, in_article: bool) -> bool:
-    if name in _OUTSIDE or name == "header" and not in_article:
-        return True
-    if attributes and name not in ("body", "html", "article", "main"):
-        for m in _MARKED.finditer(attributes):
-            if not _WORDS.isdisjoint(re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())):
-                return not (in_article and name == "header")
-    return False
+def _listed(attributes: str) -> bool:
+    """Whether a class, id or role has a word that boilerplate is called by."""
+    return any(not _WORDS.isdisjoint(re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())) for m in _MARKED.finditer(attributes))
 
 
-def lines(page: str) -> tuple[list[tuple[str, int]], bool]:
-    """The page's lines of text, each with the length that the distribution counts for it; whether the page marks its article."""
-    page = _GONE.sub(" ", page)
+def lines(page: str, names: bool = True) -> list[tuple[str, int]]:
+    """The page's lines of text, each with the length that the distribution counts for it."""
+    page = _GONE.sub("", page)
     tags = [(m.start(), m.end(), bool(m[1]), m[2].lower(), m[3]) for m in _TAG.finditer(page)]
-    closes: dict[str, int] = {}
-    for k, t in enumerate(tags):
-        if t[2]:
-            closes[t[3]] = k  # the last one of its name
+    ends: dict[int, int] = {}  # of each tag that closes, where it does
+    open_: dict[str, list[int]] = {}
+    before, headings = [0], [0]  # characters and main headings before each tag
+    at = 0
+    for k, (start, end, closing, name, _) in enumerate(tags):
+        before.append(before[-1] + start - at)
+        headings.append(headings[-1] + (not closing and name == "h1"))
+        at = end
+        if not closing:
+            open_.setdefault(name, []).append(k)
+        elif open_.get(name):
+            ends[open_[name].pop()] = k
+    everything = before[-1] + len(page) - at
+
+    def boilerplate(k: int, name: str, attributes: str, in_article: bool) -> bool:
+        if name in _OUTSIDE or name == "header" and not in_article:
+            return True
+        if not names or not attributes or name in ("body", "html", "article", "main") or in_article and name == "header" or not _listed(attributes):
+            return False
+        to = ends[k]
+        return not (headings[to] > headings[k] and 2 * (before[to + 1] - before[k + 1]) > everything)
+
     out: list[tuple[str, int, bool]] = []
     text: list[str] = []
     links = 0
-    skip, skip_name, article, link, had_article = 0, "", 0, 0, False
+    skip, skip_name, link, had_article = 0, "", 0, False
+    inside = {"article": 0, "main": 0}
 
     def flush() -> None:
         nonlocal links
         line = " ".join(html.unescape("".join(text)).split())
         if line:
-            dull = skip > 0 or not article and links * 2 > len(line)
-            out.append((line, 0 if dull else len(line), article > 0))
+            dull = skip > 0 or not inside["article"] and links * 2 > len(line)
+            out.append((line, 0 if dull else len(line), sum(inside.values()) > 0))
         text.clear()
         links = 0
 
@@ -82,35 +103,46 @@ def lines(page: str) -> tuple[list[tuple[str, int]], bool]:
             flush()
         if name == "a":
             link = 0 if closing else 1
-        elif name in ("article", "main"):
+        elif name in inside:
             if not skip:
-                article = max(0, article + (-1 if closing else closes.get(name, -1) > k))
-                had_article |= article > 0
+                inside[name] = max(0, inside[name] + (-1 if closing else k in ends))
+                had_article |= inside[name] > 0
         if skip:
             if name == skip_name and name not in _VOID:
                 skip += -1 if closing else 1
-        elif not closing and name not in _VOID and closes.get(name, -1) > k and _boilerplate(name, attributes, article > 0):
+        elif not closing and name not in _VOID and k in ends and boilerplate(k, name, attributes, sum(inside.values()) > 0):
             if name in _INLINE:
                 flush()
             skip, skip_name = 1, name
     if at < len(page):
         text.append(page[at:])
     flush()
-    return [(line, n if inside or not had_article else 0) for line, n, inside in out], had_article
+    return [(line, n if within or not had_article else 0) for line, n, within in out]
+
+
+def kept(lengths: list[int]) -> list[bool]:
+    """Which lines lie between a surge and a dive."""
+    ahead = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
+    surge = max(1, min(SURGE_CHARS, max(ahead, default=0)))
+    out, start = [False] * len(lengths), None
+    for i, total in enumerate([*ahead, 0]):
+        if total and start is None:
+            start = i
+        elif not total and start is not None:
+            if max(ahead[start:i]) >= surge:
+                out[start:i] = [n > 0 for n in lengths[start:i]]
+            start = None
+    return out
 
 
 def main_text(page: str | None) -> str:
     """The text between surge and dive points, its lines joined by a space."""
-    found, marked = lines(page or "")
-    n = [x for _, x in found]
-    ahead = [sum(n[i : i + WINDOW]) for i in range(len(n))]
-    surge = 1 if marked else min(SURGE_CHARS, max(ahead, default=0))
-    kept, inside = [], False
-    for (line, length), total in zip(found, ahead):
-        inside = total > 0 and (inside or total >= surge)
-        if inside and length:
-            kept.append(line)
-    return " ".join(kept)
+    for names in (True, False):
+        found = lines(page or "", names)
+        text = " ".join(line for (line, _), keep in zip(found, kept([n for _, n in found])) if keep)
+        if text:
+            break
+    return text
 
 
 def extract(pages: DataFrame) -> DataFrame:

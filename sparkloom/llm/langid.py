@@ -5,13 +5,21 @@ longest matches: a text is cut greedily into the longest phrases that occur in
 the sample, and the language whose phrases are fewest, weighted by the bits that
 point into its sample (log2 of its size), wins. The automata become flat
 transition tables that end a phrase and begin the next one in one step, so many
-texts advance together, one byte each at a step. Long texts are parsed in
-segments of SEGMENT bytes (whole, none left out; a phrase ends at a segment's
-end), which keeps the work even.
+texts advance together, one byte each at a step. Segments of SEGMENT bytes of a
+text are parsed side by side, each as if a phrase began with it; then each is
+parsed again from the state in which its predecessor ends, only until both
+parses agree, so the phrases are those of the whole text.
+
+A language's sample is of whole documents: of at most SAMPLE_DOCS, those that
+together have at most SAMPLE_BYTES (if all are longer, the shortest one).
+Languages are learned however many there are; SLICE_LANGS of them are broadcast
+at a time, and more make more passes over the texts.
 
 Null texts, and texts without a letter, get ``und`` and score 0. Rows keep their
 multiplicity; null labels teach nothing; without any labelled row every text is
-``und``. Ties go to the first language by name.
+``und``. Ties go to the first language by name. Texts are parsed whole at any
+length; an empty table gives an empty result; more columns are ignored, or kept
+by ``accepted``.
 """
 
 from __future__ import annotations
@@ -25,12 +33,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import blocks
+from .exchange import shared_folder
 
-#: The sample of a language: at most so many documents, and so many bytes of them after normalising.
+#: The sample of a language: at most so many documents, and so many bytes of them.
 SAMPLE_DOCS, SAMPLE_BYTES = 60, 48_000
-#: At most so many languages, the most frequent ones, are learned.
-MAX_LANGS = 200
+#: Languages whose automata (at most 2 * SAMPLE_BYTES states each, some 20 MB) are in memory together.
+SLICE_LANGS = 16
 SEGMENT = 1024
+#: Rounds of corrections that all segments make together; what is still open then is parsed text by text.
+ROUNDS = 3
 #: The least mean length of the best language's phrases, in bytes, of a text that counts as language: noise has shorter ones.
 ACCEPT = 2.0
 
@@ -113,107 +124,178 @@ class Model:
         start = off[:-1][text] + k * SEGMENT
         size = np.minimum(SEGMENT, n[text] - k * SEGMENT)
         order = np.argsort(-size, kind="stable")
-        start, size, text = start[order], size[order], text[order]
-        active = np.searchsorted(-size, -np.arange(1, SEGMENT + 1), side="right")
+        active = np.searchsorted(-size[order], -np.arange(1, SEGMENT + 1), side="right")
         cls = self.classes[raw]
-        out = np.zeros((len(n), len(self.langs)))
         langs = len(self.tables)
         state = np.zeros((langs, len(start)), np.int32)
-        phrases = np.ones((langs, len(start)), np.int32)
-        for t in range(int(size[0]) if len(size) else 0):
+        phrases = np.zeros((langs, len(start)), np.int32)
+        for t in range(int(size.max()) if len(size) else 0):
             a = active[t]
-            c = cls[start[:a] + t]
+            c = cls[start[order[:a]] + t]
             for j, table in enumerate(self.tables):
                 v = table.take(state[j, :a] + c)
                 phrases[j, :a] += v & 1
                 state[j, :a] = v >> 1
-        for j in range(langs):
-            out[:, j] = np.bincount(text, phrases[j], len(n)) * self.weights[j]
+        out = np.zeros((len(n), langs))
+        for j, table in enumerate(self.tables):
+            end, count = np.empty_like(state[j]), np.empty_like(phrases[j])
+            end[order], count[order] = state[j], phrases[j]
+            count += self._corrected(table, cls, start, size, np.flatnonzero(k), end)
+            out[:, j] = (np.bincount(text, count, len(n)) + (n > 0)) * self.weights[j]
         return out
 
-
-def fit(docs: DataFrame, train: Column, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """Learns from at most ``sample_docs`` documents a language, those of the smallest hashes of their ids.
-
-    Only ids travel to choose them (each partition sends at most sample_docs a language); then only their texts are read.
+    @staticmethod
+    def _corrected(table: np.ndarray, cls: np.ndarray, start: np.ndarray, size: np.ndarray, later: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """How many more phrases the segments ``later`` have if they begin in the states in which those before them end.
+
+        A correction ends where both parses are in one state; a segment in which they never are ends in another state, and the next one is corrected again.
+        """
+        more = np.zeros(len(start), np.int32)
+        follows = np.zeros(len(start) + 1, bool)
+        follows[later] = True
+        todo = later
+        for _ in range(ROUNDS):
+            if not len(todo):
+                return more
+            own, real = np.zeros(len(todo), np.int32), end[todo - 1]
+            more[todo] = 0
+            live, t = np.flatnonzero(own != real), 0
+            while len(live):
+                c = cls[start[todo[live]] + t]
+                x, y = table.take(real[live] + c), table.take(own[live] + c)
+                more[todo[live]] += (x & 1) - (y & 1)
+                real[live], own[live] = x >> 1, y >> 1
+                t += 1
+                live = live[(real[live] != own[live]) & (t < size[todo[live]])]
+            moved = todo[real != own]
+            changed = moved[end[moved] != real[real != own]]
+            end[moved] = real[real != own]
+            todo = changed + 1
+            todo = todo[follows[todo]]
+        for s in todo.tolist():  # one after another: periodic texts
+            while follows[s]:
+                real, own, extra = int(end[s - 1]), 0, 0
+                for c in cls[start[s] : start[s] + size[s]].tolist():
+                    x, y = int(table[real + c]), int(table[own + c])
+                    extra += (x & 1) - (y & 1)
+                    real, own = x >> 1, y >> 1
+                    if real == own:
+                        break
+                more[s] = extra
+                if real == own or end[s] == real:
+                    break
+                end[s] = real
+                s += 1
+        return more
+
+
+def fit(docs: DataFrame, train: Column, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> list[Model]:
+    """Learns from at most ``sample_docs`` whole documents a language, those of the smallest hashes of their ids; a model for each SLICE_LANGS languages.
+
+    Only ids and lengths travel to choose them (each partition sends at most sample_docs a language); then only their texts are read.
     """
-    rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    taught = train & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
+    size = F.octet_length("text")
+    rows = docs.where(taught).select("doc_id", "lang", size.alias("size"))
+    order = W.partitionBy("lang").orderBy(F.when(F.col("size") <= sample_bytes, 0).otherwise(F.col("size")), F.xxhash64("doc_id"), "doc_id")
     top = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs)
-    picked = top.groupBy("lang").agg(F.collect_set("doc_id").alias("ids"), F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
-    ids = {i for r in picked for i in r["ids"]}
     samples: dict[str, list[bytes]] = {}
+    picked: dict[str, list] = {}
+    used: dict[str, int] = {}
+    for r in sorted(top.collect(), key=lambda r: (r["lang"], r["rank"])):
+        got = used.get(r["lang"], 0)
+        if not got or got + r["size"] <= sample_bytes:
+            picked.setdefault(r["lang"], []).append(r["doc_id"])
+            used[r["lang"]] = got + max(r["size"], 1)
+    ids = {i for x in picked.values() for i in x}
     if ids:
-        found = docs.where(F.col("doc_id").isin(sorted(ids)) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-        per = {r["lang"]: set(r["ids"]) for r in picked}
-        whole = sample_bytes * 4  # of each chosen document, normalising may drop much; more is never looked at
-        texts = sorted({(r["lang"], r["doc_id"], r["text"]) for r in found.select("lang", "doc_id", F.substring("text", 1, whole).alias("text")).collect() if r["lang"] in per and r["doc_id"] in per[r["lang"]]})
-        share = -(-sample_bytes // 12)  # no document fills more than a twelfth
-        size: dict[str, int] = {}
-        for lang, _, text in texts:
+        found = docs.where(F.col("doc_id").isin(sorted(ids)) & taught).select("lang", "doc_id", "text")
+        per = {lang: set(x) for lang, x in picked.items()}
+        for lang, _, text in sorted({tuple(r) for r in found.collect() if r["doc_id"] in per.get(r["lang"], ())}):
             raw = np.frombuffer(text.encode(), np.uint8)
             low, _ = normalise(raw, np.array([0, len(raw)]))
-            got = low.tobytes()[: min(share, sample_bytes - size.get(lang, 0))]
-            if got.strip():
-                size[lang] = size.get(lang, 0) + len(got)
-                samples.setdefault(lang, []).append(got)
-    return Model(samples)
+            if low.tobytes().strip():
+                samples.setdefault(lang, []).append(low.tobytes())
+    langs = sorted(samples)
+    return [Model({x: samples[x] for x in langs[k : k + SLICE_LANGS]}) for k in range(0, len(langs), SLICE_LANGS)]
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str] = ()) -> DataFrame:
-    """doc_id, the ``keep`` columns, lang_pred and score for every row, in one map over the texts.
+_JUDGED = "__sparkloom_lang string, __sparkloom_best double, __sparkloom_second double, __sparkloom_size double"
+_NAMES = [x.split()[0] for x in _JUDGED.split(", ")]
 
-    The score compares the two best languages' phrases: 1 - best / second, doubled, at most 1; with one language 1.
-    """
+
+def _judged(docs: DataFrame, models: list[Model]) -> DataFrame:
+    """The rows with the best language (null: the text has no letter), its normalised phrases and the next one's, and the mean bytes of its phrases."""
     spark = docs.sparkSession
     blocks.small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # at most MAX_LANGS tables of 2 * SAMPLE_BYTES states
+    columns, kinds = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    out = docs
+    for at, model in enumerate(models):
+        shared = spark.sparkContext.broadcast(model)  # at most SLICE_LANGS tables of 2 * SAMPLE_BYTES states
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, first: bool = at == 0) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                got = _compare(shared.value, batch.column("text"))
+                if not first:
+                    got = _better([batch.column(c).to_pylist() for c in _NAMES], got)
+                made = [pa.array(got[0], pa.string()), *(pa.array(x, pa.float64()) for x in got[1:])]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *made], [*columns, *_NAMES])
+
+        out = out.mapInArrow(run, f"{kinds}, {_JUDGED}")
+        if at < len(models) - 1:
+            path = shared_folder(spark)
+            out.write.parquet(path)
+            out = spark.read.schema(out.schema).parquet(path)
+    return out
+
+
+def _compare(m: Model, column: pa.Array) -> tuple[list, list, list, list]:
+    lang, best, second, size = [], [], [], []
+    for _, raw, off in blocks.texts(column):
+        low, at = normalise(raw, off)
+        cost = m.parse(low, at)
+        some = np.diff(at) > 0
+        for i in np.flatnonzero(some & ~_ascii_letter(raw, off)):
+            some[i] = any(map(str.isalpha, bytes(raw[off[i] : off[i + 1]]).decode("utf-8", "replace")))
+        which = cost.argmin(1)
+        two = np.sort(cost, 1)[:, :2]
+        lang += [m.langs[b] if s else None for b, s in zip(which, some)]
+        best += two[:, 0].tolist()
+        second += (two[:, 1] if len(m.langs) > 1 else np.full(len(some), np.inf)).tolist()
+        size += (np.diff(at) / np.maximum(two[:, 0] / np.array(m.weights)[which], 1)).tolist()
+    return lang, best, second, size
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lang, score, _ = _judge(shared.value, batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [blocks.strings(lang), pa.array(score, pa.float64())], kept + ["lang_pred", "score"])
 
-    kept = ["doc_id", *keep]
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", lang_pred string, score double"
-    return docs.select(*kept, *(["text"] if "text" not in kept else [])).mapInArrow(run, schema)
+def _better(old: list[list], new: tuple[list, list, list, list]) -> tuple[list, list, list, list]:
+    """The better of two judgements, row by row; ties stay with the old one."""
+    rows = []
+    for (l1, b1, s1, z1), (l2, b2, s2, z2) in zip(zip(*old), zip(*new)):
+        rows.append((l1, b1, min(s1, b2), z1) if b1 <= b2 else (l2, b2, min(s2, b1), z2))
+    return tuple(map(list, zip(*rows))) if rows else ([], [], [], [])
 
 
-def accepted(docs: DataFrame, model: Model, least: float = ACCEPT) -> DataFrame:
-    """The rows, all their columns, whose text has a language: not ``und``, and cut into phrases of ``least`` bytes or more on average.
+def predict(docs: DataFrame, models: list[Model], keep: list[str] = ()) -> DataFrame:
+    """doc_id, the ``keep`` columns, lang_pred and score for every row, in one map over the texts for each model.
 
-    How close two languages come doesn't matter: short texts, and texts in two languages, stay.
+    The score compares the two best languages' phrases: 1 - best / second, doubled, at most 1; with one language 1.
     """
-    spark = docs.sparkSession
-    blocks.small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lang, _, size = _judge(shared.value, batch.column("text"))
-            yield batch.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, size)], pa.bool_()))
+    kept = ["doc_id", *keep]
+    rows = docs.select(*kept, *(["text"] if "text" not in kept else []))
+    if not models:
+        return rows.select(*kept, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    lang, best, second = (F.col(c) for c in _NAMES[:3])
+    sure = F.when(second == float("inf"), F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * (1 - best / second)))
+    return _judged(rows, models).select(*kept, F.coalesce(lang, F.lit("und")).alias("lang_pred"), F.when(lang.isNull(), 0.0).otherwise(sure).alias("score"))
 
-    return docs.mapInArrow(run, docs.schema)
 
+def accepted(docs: DataFrame, models: list[Model], least: float = ACCEPT) -> DataFrame:
+    """The rows, all their columns, whose text has a language: not ``und``, and cut into phrases of ``least`` bytes or more on average.
 
-def _judge(m: Model, column: pa.Array) -> tuple[list[str], list[float], list[float]]:
-    """Language, score, and mean bytes of the best language's phrases, of each text."""
-    lang, score, size = [], [], []
-    for _, raw, off in blocks.texts(column):
-        low, at = normalise(raw, off)
-        cost = m.parse(low, at) if m.langs else np.zeros((len(at) - 1, 0))
-        some = np.diff(at) > 0
-        for i in np.flatnonzero(some & ~_ascii_letter(raw, off)):
-            some[i] = any(map(str.isalpha, bytes(raw[off[i] : off[i + 1]]).decode("utf-8", "replace")))
-        best = cost.argmin(1) if m.langs else np.zeros(len(some), int)
-        two = np.sort(cost, 1)[:, :2]
-        sure = np.clip(2 * (1 - two[:, 0] / np.maximum(two[:, 1], 1e-9)), 0, 1) if len(m.langs) > 1 else np.ones(len(some))
-        lang += [m.langs[b] if s and m.langs else "und" for b, s in zip(best, some)]
-        score += [float(x) if s and m.langs else 0.0 for x, s in zip(sure, some)]
-        phrases = cost[np.arange(len(best)), best] / np.array(m.weights)[best] if m.langs else np.ones(len(some))
-        size += (np.diff(at) / np.maximum(phrases, 1)).tolist()
-    return lang, score, size
+    How close two languages come doesn't matter: short texts, and texts in two languages, stay.
+    """
+    if not models:
+        return docs.where(F.lit(False))
+    return _judged(docs, models).where(F.col(_NAMES[0]).isNotNull() & (F.col(_NAMES[3]) >= least)).select(docs.columns)
 
 
 def _ascii_letter(raw: np.ndarray, off: np.ndarray) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import zlib
 
@@ -72,6 +73,15 @@ def test_bpe_cuts_long_texts_only_where_it_is_safe():
         assert ids == enc.encode_ordinary(text), seed
 
 
+def test_bpe_of_long_white_space():
+    enc = reference_coder()
+    for blank in (" " * 90_000, "\n" * 90_000, " \n\t\u3000" * 30_000, "\xa0" * 80_000):
+        for text in (blank, "a" + blank, blank + "b", f"a b{blank}c d{blank}\n!", f"x{blank} \n", blank + "\n7", "é" + blank + "\x1f"):
+            assert bpe.encode(enc, text) == enc.encode_ordinary(text)
+    text = "a" + " " * 5_000_000 + "b" + "\n" * 2_000_000
+    assert enc.decode_bytes(bpe.encode(enc, text)) == text.encode()
+
+
 # --- language
 
 
@@ -108,7 +118,9 @@ def phrases(text: bytes, sample: bytes) -> int:
 def test_automaton_parses_as_search_does():
     sample = {"x": [b"the cat sat on the mat"], "y": [b"der hund und der"]}
     m = langid.Model(sample)
-    for text in (b"the cat", b"the dog on the hat", b"und der cat qq", b"z", b"tttt"):
+    r = random.Random(4)
+    long = [bytes(r.choice(b"thecatsonmhundr  ") for _ in range(n)) for n in (1023, 1024, 1025, 5000, 20_000)]
+    for text in (b"the cat", b"the dog on the hat", b"und der cat qq", b"z", b"tttt", b"the cat sat on the mat" * 400, b"at" * 6000, b"t" * 9001, *long):
         raw = np.frombuffer(text, np.uint8)
         got = m.parse(raw, np.array([0, len(raw)]))[0] / np.array(m.weights)
         assert got.tolist() == [phrases(text, sample[k][0]) for k in ("x", "y")], text
@@ -125,7 +137,7 @@ def test_language_of_held_out_texts(spark):
         break
 
 
-def test_language_of_awkward_rows(spark, docs, crowded, empty):
+def test_language_of_awkward_rows(spark, docs, crowded, empty, monkeypatch):
     model = langid.fit(docs, F.lit(True))
     rows = langid.predict(crowded, model, keep=["text"]).collect()
     assert len(rows) == len(awkward())
@@ -133,6 +145,11 @@ def test_language_of_awkward_rows(spark, docs, crowded, empty):
         letters = any(c.isalpha() for c in r["text"] or "")
         assert (r["lang_pred"] == "und") == (not letters)
         assert letters or r["score"] == 0
+    monkeypatch.setattr(langid, "SLICE_LANGS", 1)  # a pass for each language
+    sliced = langid.fit(docs, F.lit(True))
+    assert len(sliced) > len(model) == 1
+    key = lambda r: (str(r["text"]), r["lang_pred"], r["score"])
+    assert sorted(map(key, langid.predict(crowded, sliced, keep=["text"]).collect())) == sorted(map(key, rows))
     none = langid.fit(empty, F.lit(True))
     assert {r["lang_pred"] for r in langid.predict(docs, none).collect()} == {"und"}
     assert langid.predict(empty, model).count() == 0
@@ -242,6 +259,41 @@ def test_page_without_an_article_tag():
     assert html.main_text(page) == f"Head {text} {text}"
 
 
+STORY = "<h1>Head</h1><p>A long enough paragraph of text that surely belongs to the article.</p><p>And one more of them, for good measure.</p>"
+
+
+@pytest.mark.parametrize("page", [f'<body><div class="share-price-story">{STORY}</div></body>', f'<body><div class="nav">Home</div><div class="content has-sidebar">{STORY}</div></body>', f'<body><main><div class="comments-free">{STORY}</div></main></body>'])
+def test_names_do_not_empty_a_page(page):
+    assert html.main_text(page) == "Head A long enough paragraph of text that surely belongs to the article. And one more of them, for good measure."
+
+
+def test_comments_vanish_and_lists_of_links_in_main_too():
+    assert html.main_text("<p>a<!-- x -->b and <b>c</b>d</p>") == "ab and cd"
+    links = "<ul>" + "<li><a href=x>Another story</a></li>" * 5 + "</ul>"
+    assert html.main_text(f"<main>{links}{STORY}{links}</main>").startswith("Head A long") and "Another" not in html.main_text(f"<main>{links}{STORY}{links}</main>")
+
+
+def test_runs_of_the_distribution():
+    r = random.Random(2)
+    for _ in range(300):
+        n = [r.choice([0, 0, 0, 5, 30, 200]) for _ in range(r.randint(0, 25))]
+        sums = [sum(n[i : i + html.WINDOW]) for i in range(len(n))]
+        want = []
+        for i, x in enumerate(n):  # the run around a line, by walking both ways
+            a = b = i
+            while a > 0 and sums[a - 1]:
+                a -= 1
+            while b < len(n) and sums[b]:
+                b += 1
+            want.append(x > 0 and max(sums[a:b]) >= min(html.SURGE_CHARS, max(sums)))
+        assert html.kept(n) == want
+
+
+def test_a_long_page():
+    page = "<body><div>" + "<p>Some words that make a paragraph of text &amp; more.</p>" * 100_000 + "</div></body>"
+    assert html.main_text(page) == " ".join(["Some words that make a paragraph of text & more."] * 100_000)
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<script>never closed", "<!-- never closed", "<<<>>>", "&#xZZ; &bogus; &#1114112;", "plain text only", "<p>" * 3000])
 def test_odd_pages(page):
     assert isinstance(html.main_text(page), str)
@@ -257,18 +309,29 @@ def test_pages_table(spark):
 # --- decontamination
 
 
-def bm25(index, name):
-    """All items' normalised scores for a set of words, by definition."""
-    out = np.zeros(len(index.ids))
-    for t, i, w in zip(index.term, index.item, index.impact):
-        if index.terms[t] in set(name.tolist()):
-            out[i] += w
-    return out
+def bm25(items: list[str], passage: list[str]) -> list[float]:
+    """Scores of all items for a passage's words, divided by each item's for itself, by the definition of BM25."""
+    words = [t.lower().split() for t in items]
+    n, mean = len(words), sum(map(len, words)) / len(words)
+    df = {}
+    for w in words:
+        for x in set(w):
+            df[x] = df.get(x, 0) + 1
+
+    def score(w: list[str], query: set[str]) -> float:
+        k = decontaminate.K1 * (1 - decontaminate.B + decontaminate.B * len(w) / mean)
+        return sum(math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * w.count(x) * (decontaminate.K1 + 1) / (w.count(x) + k) for x in query & set(w))
 
+    return [score(w, set(passage)) / score(w, set(w)) for w in words]
 
-def test_retrieval_loses_no_item():
+
+@pytest.mark.parametrize("slices", [1, 3])
+def test_retrieval_is_bm25(slices):
     items = [prose(i, 10 + i % 25) for i in range(70)]
-    index = decontaminate.Index(list(range(70)), items)
+    units = [u for i, t in enumerate(items) for u in decontaminate.units(i, t)]
+    stats = decontaminate.Stats.of(units)
+    indexes = [decontaminate.Index(units[k::slices], stats) for k in range(slices)]
+    found = 0
     for seed in range(40):
         r = random.Random(seed)
         words = prose(1000 + seed, 90).split()
@@ -278,14 +341,26 @@ def test_retrieval_loses_no_item():
         off = np.array([0, len(raw)])
         start, end, first = blocks.words(raw, off, decontaminate._GAP)
         name = blocks.word_names(raw, start, end)
-        got = {(at, index.ids[i]) for _, at, i, _ in index.retrieve(name, np.zeros(len(name), int), first)}
-        want = set()
-        cells = -(-len(name) // index.stride) + 1
-        for c in range(cells):
-            at = max(0, (c - 1) * index.stride)
-            score = bm25(index, name[at : (c + 1) * index.stride])
-            want |= {(at, index.ids[i]) for i in np.flatnonzero(score >= decontaminate.RETRIEVE + 1e-4)}
-        assert want <= got
+        got = {(at, index.units[i].item): s for index in indexes for _, at, i, s in index.retrieve(name, np.zeros(len(name), int), first)}
+        want = {}
+        for c in range(-(-len(name) // stats.stride) + 1):
+            at = max(0, (c - 1) * stats.stride)
+            scores = bm25(items, text.split()[at : (c + 1) * stats.stride])
+            want |= {(at, i): s for i, s in enumerate(scores) if s >= decontaminate.RETRIEVE}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+        found += len(got)
+    assert found
+
+
+def test_slices_of_items_and_long_items(spark, monkeypatch):
+    items = [(i, f"Question {prose(i, 20)}\n{prose(500 + i, 4)}") for i in range(30)] + [(99, prose(700, 3000) + "\n" + prose(701, 6))]
+    docs = spark.createDataFrame([(i, prose(2000 + i, 60) + " " + t + " " + prose(3000 + i, 60)) for i, t in items] + [(500, prose(9, 4000))], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(tuple, decontaminate.contaminated(docs, bench).collect()))
+    assert {(a, b) for a, b, *_ in one} == {(i, i) for i, _ in items}
+    monkeypatch.setattr(decontaminate, "SLICE_ITEMS", 16)
+    assert sorted(map(tuple, decontaminate.contaminated(docs, bench).collect())) == one
+    assert [r["doc_id"] for r in decontaminate.clean(docs, bench).collect()] == [500]
 
 
 def test_planted_items_are_found_and_clean_texts_are_not(spark):
