@@ -15,7 +15,10 @@ into its pairs. Candidates are verified by the exact probability Jaccard, which
 must be SIMILARITY or more, and links make classes. A pair of that similarity
 shares no band with a probability of 7e-6.
 
-Texts without words (null ones, too) are classes of their own. Rows may repeat.
+Texts without words (null ones, too) are classes of their own. Rows may repeat,
+and count each; of equal ids the first row in the staged files stays. Texts of
+any length are sketched whole. More columns are ignored by ``classes`` and kept
+by ``representatives``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -137,12 +140,12 @@ def _sketch(staged: Staged) -> DataFrame:
                 rows += (first + has).tolist()
                 nodes += node[has].tolist()
                 sigs += [made[number[i]] if number[i] >= 0 else None for i in has.tolist()]
-            ids = batch.column("doc_id").cast(pa.int64()).take(pa.array(rows, pa.int64()))
+            ids = batch.column("doc_id").take(pa.array(rows, pa.int64()))
             k = len(rows)
             yield pa.RecordBatch.from_arrays([pa.array([file] * k, pa.int32()), pa.array([c] * k, pa.int32()), pa.array(rows, pa.int32()), ids, pa.array(nodes, pa.int64()), pa.array(sigs, pa.list_(pa.int32()))], ["file", "chunk", "row", "doc_id", "node", "sig"])
 
     out = f"{staged.folder}/sketch"
-    schema = "file int, chunk int, row int, doc_id long, node long, sig array<int>"
+    schema = f"file int, chunk int, row int, doc_id {dict(staged.table.dtypes)['doc_id']}, node long, sig array<int>"
     staged.run([], work, schema).write.parquet(out)
     return staged.spark.read.schema(schema).parquet(out)
 
@@ -251,10 +254,11 @@ def classes(docs: DataFrame) -> DataFrame:
             for c, batch in enumerate(chunks(path, ["doc_id", "text"])):
                 alone = [row + i for row, raw, off in blocks.texts(batch.column("text")) for i in np.flatnonzero(np.diff(blocks.words(raw, off)[2]) == 0).tolist()]
                 if alone:
-                    ids = batch.column("doc_id").cast(pa.int64()).take(pa.array(alone))
+                    ids = batch.column("doc_id").take(pa.array(alone))
                     yield pa.RecordBatch.from_arrays([ids, ids, pa.array([1] * len(alone), pa.int64())], ["doc_id", "class_id", "class_size"])
 
-        schema = "doc_id long, class_id long, class_size long"
+        kind = dict(docs.dtypes)["doc_id"]
+        schema = f"doc_id {kind}, class_id {kind}, class_size long"
         named.select("doc_id", "class_id", "class_size").unionByName(staged.run([], work, schema)).write.parquet(out)
     drop_folder(spark, staged.folder)
     return spark.read.schema(schema).parquet(out)

@@ -18,7 +18,9 @@ windows have 96 bits beside the bucket's.
 A text that equals an earlier one is found by its digest and leaves whole, so
 groups of copies don't fill buckets. Documents are ordered by doc_id, null ids
 last; rows that share an id by their place in the staged files. Null and empty
-texts keep nothing and lose nothing. Texts shorter than WINDOW stay.
+texts keep nothing and lose nothing. Texts shorter than WINDOW stay; long ones
+are treated whole, in a chunk of their own. More columns are ignored by
+``digests`` and kept by ``deduplicated``; an empty table gives an empty result.
 """
 
 from __future__ import annotations

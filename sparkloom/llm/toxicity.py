@@ -7,7 +7,11 @@ sets the weights of most to exactly 0 (L1), so the model that is broadcast is
 the list of the others, at most 2**BITS.
 
 Null texts count as empty and get the score of the bias. Without labelled rows
-every score is 0.5.
+every score is 0.5. Null labels teach nothing; a document with several labels
+counts as toxic if one says so; rows that repeat a labelled id are learned each.
+At most SAMPLE_ROWS labelled rows are learned from, those of the smallest hashes
+of their ids, whole however long. Ties and repeated rows don't matter to scores;
+an empty table gives an empty result; more columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from . import blocks
 from .quality import sampled
@@ -99,15 +104,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, train: Column, rows: int
                 key = np.unique((text.astype(np.int64) << BITS) | at)
                 lists += [x.astype(np.int32) for x in np.split(key & ((1 << BITS) - 1), np.searchsorted(key >> BITS, np.arange(1, len(off) - 1)))]
             packed = pa.array([x.tobytes() for x in lists], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_label"), packed], ["doc_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("_order"), batch.column("_label"), packed], ["o", "y", "x"])
 
     data = sampled(docs, labels, label, train, rows)
-    kind = dict(data.dtypes)["doc_id"]
-    got = data.mapInArrow(run, f"doc_id {kind}, y int, x binary").toPandas()
+    mixed = F.xxhash64(F.lit(9), "doc_id")  # mixes sources and ages
+    got = data.withColumn("_order", mixed).mapInArrow(run, "o long, y int, x binary").toPandas()
     if not len(got):
         return Model(np.zeros(0, np.int32), np.zeros(0), 0.0)
-    order = got["doc_id"].astype("int64").map(lambda i: (i * 0x9E3779B97F4A7C15) & (2**64 - 1))  # mixes sources and ages
-    got = got.assign(_o=order).sort_values(["_o", "doc_id"], kind="stable")
+    got = got.sort_values(["o", "x"], kind="stable")
     model = Ftrl()
     xs = [np.append(np.frombuffer(x, np.int32), np.int32(1 << BITS)) for x in got["x"]]
     ys = got["y"].to_numpy()

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import blocks, components, knn, neardup, ngrams, suffixes
+from sparkloom.llm import blocks, components, exchange, knn, neardup, ngrams, suffixes
 
 from .conftest import SCHEMA, awkward, prose
 
@@ -135,6 +135,32 @@ def test_near_duplicates_of_awkward_rows(spark, crowded, empty):
     assert neardup.representatives(empty).count() == 0
 
 
+def test_ids_of_another_type(spark):
+    rows = corpus(5, 30)
+    docs = spark.createDataFrame([(f"d{i:04}", t, lang, s, n) for i, t, lang, s, n in rows], SCHEMA.replace("doc_id long", "doc_id string"))
+    name = lambda i: f"d{i:04}"
+    assert sorted(map(tuple, neardup.classes(docs).collect())) == [(name(a), name(b), n) for a, b, n in grouped([(i, t) for i, t, *_ in rows])]
+    assert sorted(map(tuple, suffixes.digests(docs).collect())) == sorted((name(i), *x) for i, *x in dedup(sorted((i, t) for i, t, *_ in rows)))
+
+
+def test_two_hops_and_how_rows_grow(spark, monkeypatch):
+    rows = corpus(12, 60)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(8)
+    monkeypatch.setattr(exchange, "FAN", 3)
+    got = suffixes.digests(docs).collect()
+    assert sorted(map(tuple, got)) == sorted(dedup(sorted((i, t) for i, t, *_ in rows)))
+    items = [(f, c, s, bytes([f, c, s + 1])) for f in range(3) for c in range(2) for s in (-1, 0, 7)]
+    assert list(exchange.unpack(exchange.pack(items))) == items
+    # rows of a round whose every file asks every shard
+    for files, shards in ((8, 64), (16, 128)):
+        staged = exchange.Staged.of(spark.range(0, files, 1, files).toDF("x"), exchange.shared_folder(spark), "rows", 1, shards)
+        staged.fan = 16
+        emit = lambda path, own, shards=shards: ((0, s, b"q") for s in range(shards))
+        told = staged.ask("t", [], emit, lambda blobs, places: [b"a%d" % len(blobs)] * len(blobs))
+        assert told.agg(F.sum("asks")).first()[0] == files * shards
+        assert told.count() <= files * -(-shards // staged.fan)
+
+
 def test_exact_similarity_and_its_estimate():
     r = random.Random(5)
     pairs = [(collections.Counter({k: r.randint(1, 5) for k in range(40)}), collections.Counter({k: r.randint(1, 5) for k in range(s, 40 + s)})) for s in range(0, 40, 3)]
@@ -274,9 +300,9 @@ def test_ngrams_of_awkward_rows(spark, crowded, empty):
 
 
 def neighbours(rows, every, k=10):
-    ok = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    ok = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, v in {(i, tuple(v)) for i, v in ok if i % every == 0}:
+    for q, v in [(i, tuple(v)) for i, v in ok if i % every == 0]:
         best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ok if i != q)[:k]
         out += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
     return sorted(out)
@@ -290,14 +316,21 @@ def test_top_k(spark, monkeypatch):
     centres = [[r.gauss(0, 3) for _ in range(6)] for _ in range(4)]
     rows = [(i, [float(np.float32(c + r.gauss(0, 0.3))) for c in centres[min(i % 7, 3)]]) for i in range(300)]
     rows += [(1000 + i, rows[5][1]) for i in range(15)]  # ties
+    rows += [(20, [x + 0.01 * k for x in rows[20][1]]) for k in range(14)]  # a query's own rows, more than k
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = sorted(map(tuple, knn.top_k(df, F.col("vec_id") % 20 == 0).collect()))
     assert got == neighbours(rows, 20)
 
 
+def test_top_k_of_large_products(spark):
+    rows = [(i, [float(2**20 + i), float(2**20 - 3 * i), 1.0]) for i in range(30)]
+    got = sorted(map(tuple, knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0).collect()))
+    assert got == neighbours(rows, 10) and got[0][3] > 2**53
+
+
 def test_top_k_of_awkward_rows(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 2.0]), (1, None), (2, []), (3, [nan, 1.0]), (4, [inf, 0.0]), (5, [1.0, None]), (None, [1.0, 1.0]), (6, [0.5, -1.0]), (7, [3.0]), (8, [1.0, 1.0, 1.0]), (0, [1.0, 2.0]), (9, [0.5, -1.0])]
+    rows = [(0, [1.0, 2.0]), (1, None), (2, []), (3, [nan, 1.0]), (4, [inf, 0.0]), (5, [1.0, None]), (None, [1.0, 1.0]), (6, [0.5, -1.0]), (7, [3.0]), (8, [1.0, 1.0, 1.0]), (0, [1.0, 2.0]), (9, [0.5, -1.0]), (0, [-1.0, 0.5]), (9, [2.0, 0.0]), (12, [])]
     df = spark.createDataFrame([(*r, "own") for r in rows], "vec_id long, embedding array<float>, rank string")
     got = sorted(map(tuple, knn.top_k(df, F.col("vec_id") % 3 == 0).collect()))
     assert got == neighbours(rows, 3)
