@@ -37,7 +37,7 @@ SIZE = "__sparkloom_bytes"
 #: Bytes of text for each shard.
 SHARD_BYTES = 16 << 20
 #: Shards that a packet's first hop can tell apart; tasks of a stage at most; bytes of packets that a task holds back.
-FAN, TASKS, HELD_BACK = 256, 20_000, 64 << 20
+FAN, TASKS, HELD_BACK = 256, 20_000, 24 << 20
 PACKETS = "at long, blob binary"
 ANSWERS = "tag string, file int, asks long, blob binary"
 #: In place of a shard: what comes back as it is, and a sign that a chunk isn't done.
