@@ -68,6 +68,67 @@ class HashingEmbedder:
         return v / n if n > 1e-7 else v
 
 
+    def embed_all(self, texts: list[str]) -> np.ndarray:
+        """The vectors of many texts, a row each; hashes of all distinct tokens and neighbours are made together."""
+        words = [tokenize(t) for t in texts]
+        n = len(texts)
+        size = np.array([len(w) for w in words], np.int64)
+        numbers: dict[str, int] = {}
+        code = np.array([numbers.setdefault(x, len(numbers)) for w in words for x in w], np.int64)
+        if not len(code):
+            return np.zeros((n, self.dim))
+        row = np.repeat(np.arange(n), size)
+        distinct = list(numbers)
+        raw = [x.encode() for x in distinct]
+        key, count = np.unique(row * len(distinct) + code, return_counts=True)
+        r, c = key // len(distinct), key % len(distinct)
+        weight = 1 + np.log(count)
+        at, sign = self._places(_hashed(raw, 1))
+        cells, values = [r * self.dim + at[c]], [sign[c] * weight]
+        # character trigrams of each distinct token
+        pieces: dict[str, int] = {}
+        inner = [[pieces.setdefault(x[k : k + 3], len(pieces)) for k in range(len(x) - 2)] for x in distinct]
+        if pieces:
+            length = np.array([len(x) for x in inner], np.int64)
+            flat, begin = np.array([k for x in inner for k in x], np.int64), np.cumsum(length) - length
+            at, sign = self._places(_hashed([x.encode() for x in pieces], 3))
+            many = length[c]
+            which = np.repeat(begin[c] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            cells.append(np.repeat(r, many) * self.dim + at[flat[which]])
+            values.append(sign[flat[which]] * 0.3 * np.repeat(weight, many))
+        # neighbours: the hash of "a b" goes on from that of "a "
+        next_to = np.flatnonzero(row[1:] == row[:-1])
+        if len(next_to):
+            pair, which = np.unique(code[next_to] * len(distinct) + code[next_to + 1], return_inverse=True)
+            head = _hashed([x + b" " for x in raw], 2)
+            at, sign = self._places(_hashed(raw, 2, head[pair // len(distinct)], pair % len(distinct)))
+            cells.append(row[next_to] * self.dim + at[which])
+            values.append(sign[which] * 0.5)
+        v = np.bincount(np.concatenate(cells), np.concatenate(values), n * self.dim).reshape(n, self.dim)
+        norm = np.sqrt((v * v).sum(1))
+        return np.where(norm[:, None] > 1e-7, v / np.maximum(norm, 1e-30)[:, None], v)
+
+    def _places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (h % np.uint64(self.dim)).astype(np.int64), np.where(h >> np.uint64(63), -1.0, 1.0)
+
+
+def _hashed(strings: list[bytes], salt: int, start: np.ndarray | None = None, which: np.ndarray | None = None) -> np.ndarray:
+    """FNV-1a of many strings (of those that ``which`` picks), one byte of all at a time; ``start`` has hashes to go on from."""
+    raw = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint64)
+    size = np.array([len(x) for x in strings], np.int64)
+    begin = np.cumsum(size) - size
+    if which is not None:
+        begin, size = begin[which], size[which]
+    h = np.full(len(size), 14695981039346656037 ^ _SEED ^ (salt * 0x517CC1B727220A95 & _MASK), np.uint64) if start is None else start.copy()
+    order = np.argsort(-size, kind="stable")
+    begin, out = begin[order], h[order]
+    live = np.searchsorted(-size[order], -np.arange(1, int(size.max(initial=0)) + 1), side="right")
+    for k, a in enumerate(live):
+        out[:a] = (out[:a] ^ raw[begin[:a] + k]) * np.uint64(1099511628211)
+    h[order] = out
+    return h
+
+
 @dataclass
 class LsaModel:
     terms: list[str]
@@ -175,12 +236,28 @@ def embedded(chunks: DataFrame, model: HashingEmbedder | LsaModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [shared.value.embed(t or "").astype(np.float32) for t in b.column("text").to_pylist()]
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            rows = []
+            for part in _parts(texts):
+                rows += list(shared.value.embed_all(part).astype(np.float32) if isinstance(shared.value, HashingEmbedder) else [shared.value.embed(t).astype(np.float32) for t in part])
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(rows, pa.list_(pa.float32())), pa.array([name] * len(rows))], ["id", "vector", "embedding_model"])
 
     return chunks.select("id", "text").mapInArrow(run, "id long, vector array<float>, embedding_model string")
 
 
+def _parts(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
+    """Texts of about ``most`` characters together."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def stale(chunks: DataFrame, target: str) -> DataFrame:
     """Chunks whose vectors come from another model, or none."""
     return chunks.where(~F.col("embedding_model").eqNullSafe(F.lit(target)))

@@ -132,6 +132,16 @@ def test_claims():
     assert c[0][7] == 0.6 and c[3][7] == 0.3
 
 
+def test_hashing_of_many_texts_is_that_of_each():
+    e = embed.HashingEmbedder(128)
+    texts = ["Apples and pears", "", "a", "?!", "one two one two one", "zażółć gęślą jaźń 日本語 é", "x" * 4000 + " y", *(" ".join(random.Random(k).choices(["river", "fish", "stock", "price", "of", "a"], k=40)) for k in range(30))]
+    got = e.embed_all(texts)
+    assert got.shape == (len(texts), 128)
+    for g, t in zip(got, texts):
+        assert g == pytest.approx(e.embed(t))
+    assert e.embed_all([]).shape == (0, 128) and e.embed_all(["", "!"]).any() == False  # noqa: E712
+
+
 def test_hashing_embedder():
     e = embed.HashingEmbedder(16)
     v = e.embed("Apples and pears")
