@@ -8,7 +8,8 @@ by its score for itself; all units at RETRIEVE or more are retrieved by
 block-max WAND: terms' posting lists have a maximum and one for each block of
 BLOCK postings; cursors advance to the pivot, the first unit that the lists'
 maxima let reach the threshold, and past blocks whose maxima can't. Passages of
-which all lists' maxima together stay below it are never begun. What is
+which all lists' maxima together stay below it, or do so in every block of
+UNIT_BLOCK units, are never begun. What is
 retrieved is verified on word overlap: the question (all lines but the last) by
 word 5-grams in the passage, and the answer (the last line) by word pairs, in
 the passage or, if the item is long, in the whole text.
@@ -43,7 +44,7 @@ from .toxicity import _GAP
 
 K1, B = 1.2, 0.75
 RETRIEVE, QUESTION, ANSWER = 0.5, 0.6, 0.5
-SLICE_ITEMS, SLICE_BYTES, BLOCK, MIN_STRIDE, PART_WORDS = 20_000, 16 << 20, 16, 32, 512
+SLICE_ITEMS, SLICE_BYTES, BLOCK, UNIT_BLOCK, MIN_STRIDE, PART_WORDS = 2048, 2 << 20, 16, 8, 32, 512
 
 
 def _names(text: str) -> np.ndarray:
@@ -108,6 +109,7 @@ class Index:
     """Posting lists of units' normalised impacts, with maxima by list and by block."""
 
     def __init__(self, every: list[Unit], stats: Stats):
+        every = sorted(every, key=lambda u: len(u.names))  # units of like length share blocks
         self.units, self.stride = every, stats.stride
         n = len(every)
         self.terms, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(u.names for u in every)]), return_inverse=True)
@@ -127,6 +129,8 @@ class Index:
         np.maximum.at(last, block, item.astype(np.int32))
         self.by_list = np.zeros(len(self.terms))
         np.maximum.at(self.by_list, term, impact)
+        self.by_block = np.zeros((len(self.terms), -(-n // UNIT_BLOCK)), np.float32)
+        np.maximum.at(self.by_block, (term, item // UNIT_BLOCK), (impact * (1 + 1e-6)).astype(np.float32))
         self.begin, self.first = begin.tolist(), first.tolist()
         self.item, self.impact = array("i", item.astype(np.int32).tobytes()), array("d", impact.tobytes())
         self.maxima, self.last = array("d", maxima.tobytes()), array("i", last.tobytes())
@@ -195,14 +199,21 @@ class Index:
         if not len(key):
             return []
         new = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
-        end = np.append(new[1:], len(key))
+        size = np.diff(np.append(new, len(key)))
         out = []
-        for i in np.flatnonzero(np.add.reduceat(self.by_list[term], new) >= RETRIEVE - 1e-9).tolist():
-            found = self.wand(term[new[i] : end[i]].tolist())
-            if found:
-                c = int(passage[new[i]])
-                text = int(np.searchsorted(base, c, side="right")) - 1
-                out += [(text, max(0, c - int(base[text]) - 1) * self.stride, unit, score) for unit, score in found]
+        live = np.flatnonzero(np.add.reduceat(self.by_list[term], new) >= RETRIEVE - 1e-9)
+        for part in np.array_split(live, max(1, int(size[live].sum()) * self.by_block.shape[1] // (4 << 20) + 1)):
+            if not len(part):
+                continue
+            heads = np.cumsum(size[part]) - size[part]
+            rows = np.repeat(new[part] - heads, size[part]) + np.arange(int(size[part].sum()))
+            reach = (np.add.reduceat(self.by_block[term[rows]], heads, axis=0) >= RETRIEVE - 1e-5).any(1)
+            for i in part[reach].tolist():
+                found = self.wand(term[new[i] : new[i] + size[i]].tolist())
+                if found:
+                    c = int(passage[new[i]])
+                    text = int(np.searchsorted(base, c, side="right")) - 1
+                    out += [(text, max(0, c - int(base[text]) - 1) * self.stride, unit, score) for unit, score in found]
         return out
 
     def leaks(self, raw: np.ndarray, off: np.ndarray) -> list[tuple[int, object, float, float, float]]:
