@@ -9,7 +9,8 @@ block-max WAND: terms' posting lists have a maximum and one for each block of
 BLOCK postings; cursors advance to the pivot, the first unit that the lists'
 maxima let reach the threshold, and past blocks whose maxima can't. Passages of
 which all lists' maxima together stay below it, or do so in every block of
-UNIT_BLOCK units, are never begun. What is
+UNIT_BLOCK units, are never begun, and cursors move only within blocks of units
+that may reach it. What is
 retrieved is verified on word overlap: the question (all lines but the last) by
 word 5-grams in the passage, and the answer (the last line) by word pairs, in
 the passage or, if the item is long, in the whole text.
@@ -137,10 +138,15 @@ class Index:
         self.filter = np.zeros(1 << 16, bool)
         self.filter[(self.terms >> blocks.U(48)).astype(np.int64)] = True
 
-    def wand(self, terms: list[int]) -> list[tuple[int, float]]:
-        """(unit, score) of all units at RETRIEVE or more for a set of terms."""
+    def wand(self, terms: list[int], low: int, high: int) -> list[tuple[int, float]]:
+        """(unit, score) of all units from ``low`` to before ``high`` at RETRIEVE or more for a set of terms."""
         items, impacts, least = self.item, self.impact, RETRIEVE - 1e-9
-        lists = [[items[self.begin[t]], self.begin[t], self.begin[t + 1], t, float(self.by_list[t])] for t in terms]
+        lists = []
+        for t in terms:
+            at = bisect_left(items, low, self.begin[t], self.begin[t + 1])
+            end = bisect_left(items, high, at, self.begin[t + 1])
+            if at < end:
+                lists.append([items[at], at, end, t, float(self.by_list[t])])
         out = []
 
         def seek(c: list, unit: int) -> None:
@@ -207,9 +213,10 @@ class Index:
                 continue
             heads = np.cumsum(size[part]) - size[part]
             rows = np.repeat(new[part] - heads, size[part]) + np.arange(int(size[part].sum()))
-            reach = (np.add.reduceat(self.by_block[term[rows]], heads, axis=0) >= RETRIEVE - 1e-5).any(1)
-            for i in part[reach].tolist():
-                found = self.wand(term[new[i] : new[i] + size[i]].tolist())
+            which, block = np.nonzero(np.add.reduceat(self.by_block[term[rows]], heads, axis=0) >= RETRIEVE - 1e-5)
+            for i, k in zip(part[which].tolist(), block.tolist()):
+                here = term[new[i] : new[i] + size[i]]
+                found = self.wand(here[self.by_block[here, k] > 0].tolist(), k * UNIT_BLOCK, (k + 1) * UNIT_BLOCK)
                 if found:
                     c = int(passage[new[i]])
                     text = int(np.searchsorted(base, c, side="right")) - 1
