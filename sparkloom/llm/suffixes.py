@@ -12,7 +12,8 @@ name of their first WINDOW bytes and then by place; all but the first of a run
 of equal suffixes start earlier elsewhere. Buckets are ranges of names, not of
 leading bytes: equal suffixes still meet, no bucket is hot because of a common
 beginning, and dedup asks only for equality, never for the order of different
-suffixes. Names of sample prefixes may clash (that only adds work); names of
+suffixes. The first pass leaves a note of the tied runs of each chunk, so the
+others read and name only those. Names of sample prefixes may clash (that only adds work); names of
 windows have 96 bits beside the bucket's.
 
 A text that equals an earlier one is found by its digest and leaves whole, so
@@ -34,19 +35,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .exchange import Answers, Staged, chunks, drop_folder, shared_folder, tidy_shuffles
+from .exchange import KEEP, Answers, Staged, chunks, drop_folder, shared_folder, tidy_shuffles
 
 WINDOW, PERIOD = 100, 57
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)
 SAMPLE = WINDOW - PERIOD + 1
 #: Ranges of buckets that are sorted one after another.
 PASSES = 4
+#: Bytes of text that are named at a time, or one longer text.
+PIECE = 256 << 10
 DIGEST, ORDER, LAST = "__sparkloom_digest", "__sparkloom_order", "__sparkloom_last"
 COLUMNS = [DIGEST, ORDER, LAST]
 
-_IN_COVER = np.zeros(PERIOD, bool)
-_IN_COVER[list(COVER)] = True
-
 
 def _split(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """The order that sorts by shard, and where each shard begins."""
@@ -58,6 +58,8 @@ def _bits(answers: Answers, tag: str, chunk: int, order: np.ndarray, at: np.ndar
     """What the shards said of each item, in the items' order."""
     out = np.zeros(len(order), bool)
     for s, a in answers.of(tag, chunk).items():
+        if s == KEEP:
+            continue
         n = at[s + 1] - at[s]
         out[order[at[s] : at[s + 1]]] = np.unpackbits(np.frombuffer(a, np.uint8), count=n).astype(bool)
     return out
@@ -120,19 +122,19 @@ def _reply(flags: np.ndarray, sizes: list[int]) -> list[bytes | None]:
 # --- the cover's sample
 
 
-def _sample(raw: np.ndarray, off: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of a block's sample suffixes, and the prefix sums that name any of its strings."""
-    n = np.diff(off)
-    inside = np.arange(len(raw)) - np.repeat(off[:-1], n)
-    left = np.repeat(np.where(skip, 0, n), n) - inside
-    return np.flatnonzero(_IN_COVER[inside % PERIOD] & (left >= SAMPLE)), blocks.prefix(blocks.BYTE[raw])
+def _sample(off: np.ndarray, skip: np.ndarray) -> np.ndarray:
+    """Positions of a block's sample suffixes, in order."""
+    room = np.maximum(np.where(skip, 0, np.diff(off)) - SAMPLE + 1, 0)
+    count = room // PERIOD * len(COVER) + np.searchsorted(COVER, room % PERIOD)
+    k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return np.repeat(off[:-1], count) + k // len(COVER) * PERIOD + np.array(COVER)[k % len(COVER)]
 
 
 def _sample_names(batch: pa.RecordBatch, copy: np.ndarray) -> np.ndarray:
     names = [np.zeros(0, blocks.U)]
-    for row, raw, off in blocks.texts(batch.column("text")):
-        at, s = _sample(raw, off, copy[row : row + len(off) - 1])
-        names.append(blocks.mix(blocks.spans(s, at, at + SAMPLE)))
+    for row, raw, off in blocks.texts(batch.column("text"), PIECE):
+        at = _sample(off, copy[row : row + len(off) - 1])
+        names.append(blocks.mix(blocks.spans(blocks.prefix(blocks.BYTE[raw]), at, at + SAMPLE)))
     return np.concatenate(names)
 
 
@@ -176,38 +178,52 @@ def _rank_sample(staged: Staged, copies: DataFrame) -> DataFrame:
 # --- suffixes that the cover leaves tied
 
 
+def _runs(batch: pa.RecordBatch, chunk: int, copy: np.ndarray, answers: Answers, shards: int) -> np.ndarray:
+    """Runs of a chunk's tied suffixes, in order: row, place of the first, place after the last."""
+    out = [np.zeros((0, 3), np.int32)]
+    if not answers.of("sample", chunk):
+        return out[0]
+    sample = _Sampled(batch, copy, shards)
+    said = _bits(answers, "sample", chunk, sample.order, sample.at)[sample.which]
+    done = 0
+    for row, _, off in blocks.texts(batch.column("text"), PIECE):
+        where = _sample(off, copy[row : row + len(off) - 1])
+        tied = where[said[done : done + len(where)]]
+        done += len(where)
+        text = np.searchsorted(off, tied, side="right") - 1
+        low, high = np.maximum(tied - PERIOD + 1, off[text]), np.minimum(tied + 1, off[text + 1] - WINDOW + 1)
+        room = low < high
+        low, high, text = low[room], high[room], text[room]
+        if not len(low):
+            continue
+        new = np.append(True, (low[1:] > high[:-1]) | (text[1:] != text[:-1]))
+        low, high, text = low[new], high[np.append(new[1:], True)], text[new]
+        out.append(np.column_stack([row + text, low - off[text], high - off[text]]).astype(np.int32))
+    return np.concatenate(out)
+
+
 class _Tied:
-    """The tied suffixes of a chunk: row and place in it, and the two names of each one's window."""
-
-    def __init__(self, batch: pa.RecordBatch, chunk: int, answers: Answers, shards: int):
-        self.copy = _copies(batch, chunk, answers, shards)
-        empty = np.zeros(0, np.int64)
-        self.row = self.place = empty
-        self.name, self.more = np.zeros(0, blocks.U), np.zeros(0, np.uint32)
-        if not answers.of("sample", chunk):
-            return
-        sample = _Sampled(batch, self.copy, shards)
-        said = _bits(answers, "sample", chunk, sample.order, sample.at)[sample.which]
-        parts, done = [], 0
-        for row, raw, off in blocks.texts(batch.column("text")):
-            where, s = _sample(raw, off, self.copy[row : row + len(off) - 1])
-            tied = where[said[done : done + len(where)]]
-            done += len(where)
-            if not len(tied):
-                continue
-            n = np.diff(off)
-            text = np.searchsorted(off, tied, side="right") - 1
-            mark = np.zeros(len(raw) + 1, np.int32)
-            np.add.at(mark, np.maximum(tied - PERIOD + 1, off[text]), 1)
-            np.add.at(mark, tied + 1, -1)
-            start = np.flatnonzero(np.cumsum(mark[:-1]))
-            text = np.searchsorted(off, start, side="right") - 1
-            keep = start + WINDOW <= off[text + 1]
-            start, text = start[keep], text[keep]
-            second = blocks.prefix(blocks.BYTE2[raw])
-            parts.append((row + text, start - off[text], blocks.mix(blocks.spans(s, start, start + WINDOW)), (blocks.mix(blocks.spans(second, start, start + WINDOW)) >> blocks.U(32)).astype(np.uint32)))
-        if parts:
-            self.row, self.place, self.name, self.more = map(np.concatenate, zip(*parts))
+    """The tied suffixes of a chunk, or those of one pass: row and place in it, the two names of each one's window, and its bucket.
+
+    The first pass finds copies and runs, and keeps them in a note for those that follow.
+    """
+
+    def __init__(self, batch: pa.RecordBatch, chunk: int, answers: Answers, shards: int, only: int | None = None):
+        self.note = answers.of("pass0", chunk).get(KEEP)
+        if self.note is None:
+            self.copy = _copies(batch, chunk, answers, shards)
+            runs = _runs(batch, chunk, self.copy, answers, shards)
+            self.note = np.packbits(self.copy).tobytes() + runs.tobytes()
+        else:
+            n = -(-batch.num_rows // 8)
+            self.copy = np.unpackbits(np.frombuffer(self.note, np.uint8, n), count=batch.num_rows).astype(bool)
+            runs = np.frombuffer(self.note, np.int32, offset=n).reshape(-1, 3)
+        parts = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, blocks.U), np.zeros(0, np.uint32), np.zeros(0, np.uint32))]
+        for row, raw, off in blocks.texts(batch.column("text"), PIECE):
+            a, b = np.searchsorted(runs[:, 0], [row, row + len(off) - 1])
+            if a < b:
+                parts.append(_windows(raw, off, row, runs[a:b], shards, only))
+        self.row, self.place, self.name, self.more, self.bucket = map(np.concatenate, zip(*parts))
 
         ids, null = _order(batch)
         rank = np.empty(batch.num_rows, np.int64)
@@ -219,8 +235,7 @@ class _Tied:
 
         Only the first of equal suffixes of a chunk travels, so neither repetitions nor hot passages fill a bucket.
         """
-        bucket = self.name % blocks.U(shards * PASSES)
-        mine = np.flatnonzero(bucket // blocks.U(shards) == k)
+        mine = np.flatnonzero((self.bucket >= k * shards) & (self.bucket < (k + 1) * shards))
         rank = self.rank[self.row[mine]] if len(mine) else mine
         if (np.diff(rank) < 0).any():
             mine = mine[np.argsort(rank, kind="stable")]
@@ -232,34 +247,74 @@ class _Tied:
         first = np.zeros(len(mine), bool)
         first[at] = True
         again, mine = np.sort(back[~first]), np.sort(back[first])
-        order, begin = _split((bucket[mine] % blocks.U(shards)).astype(np.int64), shards)
+        order, begin = _split((self.bucket[mine] - np.uint32(k * shards)).astype(np.int64), shards)
         return again, mine, order, begin
 
 
+def _windows(raw: np.ndarray, off: np.ndarray, row: int, runs: np.ndarray, shards: int, only: int | None) -> tuple[np.ndarray, ...]:
+    """Row, place, two names and bucket of the suffixes in a block's runs; only the runs' bytes are named."""
+    count = (runs[:, 2] - runs[:, 1]).astype(np.int64)
+    ends = np.cumsum(count + WINDOW - 1)
+    begin = ends - count - WINDOW + 1
+    bytes_ = raw[np.arange(ends[-1]) + np.repeat(off[runs[:, 0] - row] + runs[:, 1] - begin, count + WINDOW - 1)]
+    start = np.arange(count.sum()) + np.repeat(begin - (np.cumsum(count) - count), count)
+    name = blocks.mix(blocks.spans(blocks.prefix(blocks.BYTE[bytes_]), start, start + WINDOW))
+    bucket = ((name & blocks.U(0xFFFFFFFF)) * blocks.U(shards * PASSES) >> blocks.U(32)).astype(np.uint32)
+    which = np.repeat(np.arange(len(runs)), count)
+    if only is not None:
+        mine = np.flatnonzero((bucket >= only * shards) & (bucket < (only + 1) * shards))
+        start, name, bucket, which = start[mine], name[mine], bucket[mine], which[mine]
+    more = (blocks.mix(blocks.spans(blocks.prefix(blocks.BYTE2[bytes_]), start, start + WINDOW)) >> blocks.U(32)).astype(np.uint32)
+    return runs[which, 0], (start + (runs[:, 1] - begin)[which]).astype(np.int32), name, more, bucket
+
+
+def _narrow(column: np.ndarray) -> np.ndarray:
+    """Numbers from 0 in as few bytes as the largest needs; none at all where that is 0."""
+    most = int(column.max(initial=0))
+    return column.astype(np.min_scalar_type(most)) if most else np.zeros((len(column), 0), np.uint8)
+
+
 def _sort_pass(staged: Staged, known: list[DataFrame], k: int) -> DataFrame:
     shards = staged.shards
 
     def emit(path: str, answers: Answers) -> Iterator[tuple[int, int, bytes]]:
         for c, batch in enumerate(chunks(path, ["doc_id", "text", *COLUMNS])):
-            tied = _Tied(batch, c, answers, shards)
+            tied = _Tied(batch, c, answers, shards, k)
+            if k == 0:
+                yield c, KEEP, tied.note
             _, mine, order, at = tied.of_pass(k, shards)
             mine = mine[order]
+            row, name, more = tied.row[mine], tied.name[mine], tied.more[mine]
+            new = np.append(True, row[1:] != row[:-1])[: len(row)]
+            shard = np.flatnonzero(np.diff(at))
+            new[at[shard]] = True
+            head = np.flatnonzero(new)
             ids, null = _order(batch)
-            for s in np.flatnonzero(np.diff(at)):
-                m = mine[at[s] : at[s + 1]]
-                row, size = np.unique(tied.row[m], return_counts=True)
-                head = np.column_stack([ids[row], null[row], row, size]).astype(np.int64)
-                yield c, int(s), b"".join([np.int64(len(row)).tobytes(), head.tobytes(), tied.name[m].tobytes(), tied.more[m].tobytes()])
+            base = ids[~null].min() if not null.all() else np.int64(0)
+            of = row[head]
+            away = np.where(null, 0, ids.view(np.uint64) - base.view(np.uint64))
+            columns = [_narrow(x) for x in (away[of], null[of], of, np.diff(np.append(head, len(mine))))]
+            form = base.tobytes() + bytes(x.itemsize * (x.ndim == 1) for x in columns)
+            from_ = np.searchsorted(head, at)
+            for s in shard:
+                a, b = from_[s], from_[s + 1]
+                yield c, int(s), b"".join([form, np.int32(b - a).tobytes(), *(x[a:b].tobytes() for x in columns), name[at[s] : at[s + 1]].tobytes(), more[at[s] : at[s + 1]].tobytes()])
 
     def judge(blobs: list[bytes], places: list[tuple[int, int]]) -> list[bytes | None]:
         heads, names, more = [], [], []
         for i, b in enumerate(blobs):
-            n = int(np.frombuffer(b, np.int64, 1)[0])
-            head = np.frombuffer(b, np.int64, 4 * n, 8).reshape(n, 4)
-            size = int(head[:, 3].sum())
-            heads.append(np.column_stack([head, np.full(n, i)]))
-            names.append(np.frombuffer(b, np.uint64, size, 8 + 32 * n))
-            more.append(np.frombuffer(b, np.uint32, size, 8 + 32 * n + 8 * size))
+            base, n = np.frombuffer(b, np.int64, 1)[0], int(np.frombuffer(b, np.int32, 1, 12)[0])
+            head, done = np.zeros((5, n), np.int64), 16
+            for column, width in zip(head, b[8:12]):
+                if width:
+                    column[:] = np.frombuffer(b, f"u{width}", n, done).astype(np.uint64).view(np.int64)
+                    done += width * n
+            head[0, head[1] == 0] += base
+            head[4] = i
+            size = int(head[3].sum())
+            heads.append(head.T)
+            names.append(np.frombuffer(b, np.uint64, size, done))
+            more.append(np.frombuffer(b, np.uint32, size, done + 8 * size))
         head, name, more = np.concatenate(heads), np.concatenate(names), np.concatenate(more)
         # runs of one document each, put into the order of documents; blobs already are in that of files and chunks
         run = np.lexsort((head[:, 2], head[:, 4], head[:, 0], head[:, 1]))
@@ -293,7 +348,7 @@ def _cut(batch: pa.RecordBatch, chunk: int, answers: Answers, shards: int) -> It
             repeated[again] = True
             repeated[mine] = _bits(answers, f"pass{k}", chunk, order, at)
     row, place = tied.row[repeated], tied.place[repeated]
-    for first, raw, off in blocks.texts(batch.column("text")):
+    for first, raw, off in blocks.texts(batch.column("text"), PIECE):
         n = np.diff(off)
         a, b = np.searchsorted(row, [first, first + len(n)])
         start = off[row[a:b] - first] + place[a:b]
@@ -331,8 +386,9 @@ def _solve(docs: DataFrame) -> tuple[Staged, list[DataFrame]]:
     with tidy_shuffles(spark):
         copies = _find_copies(staged)
         known = [copies, _rank_sample(staged, copies)]
-        passes = [_sort_pass(staged, known, k) for k in range(PASSES)]
-    return staged, known + passes
+        passes = [_sort_pass(staged, known, 0)]
+        passes += [_sort_pass(staged, passes[:1], k) for k in range(1, PASSES)]
+    return staged, passes
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -83,6 +83,45 @@ def test_suffix_dedup_of_awkward_rows(spark, crowded, empty):
     assert suffixes.deduplicated(empty).count() == 0
 
 
+def test_suffix_passes_name_only_what_is_tied(tmp_path, monkeypatch):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    texts = [prose(900 + i, 400) for i in range(40)]
+    texts[30] += texts[3][:500]
+    digest = [hashlib.md5(t.encode()).digest() for t in texts]
+    columns = {"doc_id": range(10**12, 10**12 + 40), "text": texts, suffixes.DIGEST: digest, suffixes.ORDER: range(10**12, 10**12 + 40), suffixes.LAST: [False] * 40, exchange.SIZE: [len(t) for t in texts]}
+    pq.write_table(pa.table({k: list(v) for k, v in columns.items()}), tmp_path / "0.parquet")
+
+    class Direct:
+        """One file, asked in this process."""
+
+        shards, paths, answers, sent = 5000, [(tmp_path / "0.parquet").as_uri()], exchange.Answers(), 0
+
+        def ask(self, tag, known, emit, judge):
+            for c, s, b in list(emit(self.paths[0], self.answers)):
+                self.sent += len(b) * tag.startswith("pass")
+                a = b if s < 0 else judge([b], [(0, c)])[0]
+                if a is not None:
+                    self.answers.add(tag, c, s, a)
+
+    named = []
+    prefix = blocks.prefix
+    monkeypatch.setattr(blocks, "prefix", lambda values: named.append(len(values)) or prefix(values))
+    staged = Direct()
+    suffixes._rank_sample(staged, suffixes._find_copies(staged))
+    for k in range(suffixes.PASSES):
+        suffixes._sort_pass(staged, [], k)
+    batch = next(exchange.chunks(staged.paths[0], ["doc_id", "text", *suffixes.COLUMNS]))
+    got = suffixes._digests(batch, 0, staged.answers, staged.shards).to_pylist()
+    assert [tuple(r.values()) for r in got] == dedup(list(zip(columns["doc_id"], texts)))
+    tied = suffixes._Tied(batch, 0, staged.answers, staged.shards)
+    assert 400 < len(tied.name) < 0.2 * sum(map(len, texts))
+    assert sum(named) < 4 * sum(map(len, texts))  # twice to find the sample, then only what is tied
+    distinct = len({(n, m) for n, m in zip(tied.name.tolist(), tied.more.tolist())})
+    assert staged.sent < 40 * distinct  # nearly a bucket for each: 16 bytes say what a blob is, some whose it is, 12 name the window
+
+
 # --- near duplicates
 
 
