@@ -13,8 +13,8 @@ of equal suffixes start earlier elsewhere. Buckets are ranges of names, not of
 leading bytes: equal suffixes still meet, no bucket is hot because of a common
 beginning, and dedup asks only for equality, never for the order of different
 suffixes. The first pass leaves a note of the tied runs of each chunk, so the
-others read and name only those. Names of sample prefixes may clash (that only adds work); names of
-windows have 96 bits beside the bucket's.
+others read and name only those. Names of sample prefixes may clash (that only
+adds work); names of windows have 96 bits beside the bucket's.
 
 A text that equals an earlier one is found by its digest and leaves whole, so
 groups of copies don't fill buckets. Documents are ordered by doc_id, null ids

@@ -115,6 +115,12 @@ def test_suffix_passes_name_only_what_is_tied(tmp_path, monkeypatch):
     batch = next(exchange.chunks(staged.paths[0], ["doc_id", "text", *suffixes.COLUMNS]))
     got = suffixes._digests(batch, 0, staged.answers, staged.shards).to_pylist()
     assert [tuple(r.values()) for r in got] == dedup(list(zip(columns["doc_id"], texts)))
+    # what the pipeline's stage reads of a chunk once the passes are over
+    passes = exchange.Answers({k: v for k, v in staged.answers.items() if k[0].startswith("pass")})
+    before = len(named)
+    left = {(row, k): raw[a:b][~gone[a:b]].tobytes() for row, raw, off, gone in suffixes._cut(batch, 0, passes, staged.shards) for k, (a, b) in enumerate(zip(off[:-1], off[1:]))}
+    assert [hashlib.sha256(x).hexdigest() for x in left.values()] == [r["kept_sha256"] for r in got]
+    assert sum(named[before:]) < 0.5 * sum(map(len, texts))
     tied = suffixes._Tied(batch, 0, staged.answers, staged.shards)
     assert 400 < len(tied.name) < 0.2 * sum(map(len, texts))
     assert sum(named) < 4 * sum(map(len, texts))  # twice to find the sample, then only what is tied
