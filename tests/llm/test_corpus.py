@@ -333,6 +333,36 @@ def test_ngrams_find_the_longest_context(spark):
     check_scores(got, scored(rows, 3))
 
 
+def test_a_crowded_slice_is_sorted_in_parts(monkeypatch):
+    import tracemalloc
+
+    r = np.random.default_rng(8)
+    blobs = []
+    for n in (150_000, 1, 250_000):  # many heads just below the limit meet in one shard
+        t = r.integers(1, 60, (5, n)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(26)
+        u = np.uint64
+        keys = [t[0] << u(26) | t[1] >> u(12), t[1] << u(52) | t[2] << u(14) | t[3] >> u(24), t[3] << u(40) | t[4] << u(2)]
+        train, held, starts = r.integers(0, 3, (3, n))
+        starts = np.minimum(starts, train)
+        train[:2], held[:1] = 300, 0
+        blobs.append(np.int64(n).tobytes() + b"".join(k.tobytes() for k in keys) + b"".join(ngrams._small(x) for x in (train, held, starts)))
+    tracemalloc.start()
+    got = ngrams._sorted_slice(blobs, [])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 * 400_001
+    for size in (1, 10_000, 1 << 40):
+        monkeypatch.setattr(ngrams, "SLICE", size)
+        assert ngrams._sorted_slice(blobs, []) == got
+
+
+def test_packets_stay_small():
+    items = [(at, (0, c, at, bytes(1 << 20))) for c in range(20) for at in (0, 1)]
+    rows = [(b.column(0)[0].as_py(), b.column(1)[0].as_py()) for b in exchange._packets(iter(items))]
+    assert max(len(p) for _, p in rows) < 8 << 20
+    assert sorted((at, x) for at, p in rows for x in exchange.unpack(p)) == sorted(items)
+
+
 def test_ngrams_of_awkward_rows(spark, crowded, empty):
     got = ngrams.score(crowded, blocks.fold(F.col("doc_id"), 3) == 0).collect()
     check_scores(got, scored([(i, t) for i, t, *_ in awkward()], 3))
