@@ -200,6 +200,30 @@ def test_quality_of_held_out_texts(marked):
     assert len(got) == 240 and all((r["score"] >= quality.THRESHOLD) == bool(truth[r["doc_id"]][0]) for r in got)
 
 
+def test_quality_learns_from_all_labelled_rows(spark, monkeypatch):
+    r = random.Random(7)
+    rows = [(i, " ".join(r.choice(WORDS) for _ in range(r.randint(1, 12))).upper()[: r.randint(1, 60)] if i % 3 else f"{r.choice(WORDS)} {i}", "en", "s", 1) for i in range(13_000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0 or i % 7 == 0)) for i in range(13_000)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, "quality", F.lit(True))
+    raw = [t.encode() for _, t, *_ in rows]
+    x = quality.features(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    y = np.array([int(i % 3 == 0 or i % 7 == 0) for i in range(13_000)])
+    for c, found in zip(x.T, model.cuts):
+        assert np.allclose(np.unique(np.quantile(c, np.linspace(0, 1, quality.BINS + 1)[1:-1])), found, rtol=1e-12)
+    s = model.raw(model.pattern(x))
+    assert np.isclose(model.cut, np.quantile(s, (y == 0).mean())) and np.isclose(4 / model.scale, np.median(s[y == 1]) - np.median(s[y == 0]))
+    assert np.allclose(model.bins(model.pattern(x)) @ np.concatenate([np.diff(v) for v in model.values]), s)
+    # every row has an opponent, also where a bucket has one label only
+    monkeypatch.setattr(quality, "BUCKET_ROWS", 3)
+    binned = spark.createDataFrame([(i, int(i > 19), 100 + i) for i in range(30)], "h long, y int, z long")
+    pairs = quality._paired(binned, 30, (120, 100)).collect()
+    assert {p["good"] for p in pairs} == set(range(120, 130)) and {p["bad"] for p in pairs} == set(range(100, 120))
+    both = quality.fit_predict(docs.limit(300), labels, "quality", F.col("doc_id") % 2 == 0).collect()
+    apart = quality.predict(docs.limit(300), quality.fit(docs.limit(300), labels, "quality", F.col("doc_id") % 2 == 0)).collect()
+    assert sorted(both) == sorted(apart)
+
+
 def test_toxicity_of_held_out_texts(marked):
     docs, labels, truth = marked
     held = blocks.fold(F.col("doc_id"), 4) == 2
