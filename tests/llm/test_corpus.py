@@ -356,6 +356,27 @@ def test_a_crowded_slice_is_sorted_in_parts(monkeypatch):
         assert ngrams._sorted_slice(blobs, []) == got
 
 
+def test_freed_arrays_of_ngrams_go_back():
+    import subprocess
+    import sys
+
+    code = """
+import numpy as np
+from sparkloom.llm import ngrams
+resident = lambda: int(open("/proc/self/statm").read().split()[1]) >> 8
+x = np.ones(3 << 20)
+del x  # without a fixed threshold, all up to this size would come from the heap now
+kept, before = [], resident()
+for k in range(40):
+    big = np.ones(1 << 18)
+    kept.append(np.ones(1 << 12))
+    kept.append(big)
+del kept[1::2], big
+print(resident() - before)
+"""
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 20
+
+
 def test_packets_stay_small():
     items = [(at, (0, c, at, bytes(1 << 20))) for c in range(20) for at in (0, 1)]
     rows = [(b.column(0)[0].as_py(), b.column(1)[0].as_py()) for b in exchange._packets(iter(items))]
