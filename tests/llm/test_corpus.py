@@ -333,6 +333,28 @@ def test_ngrams_find_the_longest_context(spark):
     check_scores(got, scored(rows, 3))
 
 
+def test_ngrams_stage_only_what_matches_can_reach(spark, monkeypatch):
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 0
+    train, other = [i for i in range(100) if not held(i)][:8], next(i for i in range(100) if held(i))
+    passage = " ".join(f"passage{k}" for k in range(12))
+    rows = [(i, prose(200 + i, 150) + " " + " ".join(f"own{i}x{k}" for k in range(150))) for i in train]
+    rows[0] = (train[0], rows[0][1] + " " + passage + " end")
+    rows.append((other, prose(300, 150) + " " + passage + " " + " ".join(f"own{k}" for k in range(150))))
+    staged, of = {}, exchange.Staged.of.__func__
+
+    def seen(cls, table, folder, name, *rest):
+        self = of(cls, table, folder, name, *rest)
+        staged[name] = self.table.agg(F.sum("tokens")).first()[0]
+        return self
+
+    monkeypatch.setattr(exchange.Staged, "of", classmethod(seen))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = ngrams.score(docs, blocks.fold(F.col("doc_id"), 3) == 0).collect()
+    check_scores(got, scored(rows, 3))
+    assert {r["doc_id"]: r["longest"] for r in got}[other] == 12
+    assert staged["tokens"] > 2500 and staged["low"] < 100
+
+
 def test_a_crowded_slice_is_sorted_in_parts(monkeypatch):
     import tracemalloc
 
