@@ -6,13 +6,16 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as X
 from ..text import STOPWORDS, byte_offset, canonical_key, negative, sentences, tokenize
+from .lexical import token_parts
 
 EMAIL, URL, MONEY, PERCENT, DATE, ORG, PERSON = "email", "url", "money", "percent", "date", "organization", "person"
 _FORMS = "AG Association Corp Corporation Foundation GmbH Group Holdings Inc Institute LLC LLP Laboratories Laboratory Labs Limited Ltd PLC Systems University".split()
@@ -151,16 +154,48 @@ def claim_table(chunks: DataFrame) -> DataFrame:
     return _mapped(chunks, rows, CLAIMS)
 
 
+def keyword_rows(chunks: DataFrame, most: int = 12) -> DataFrame:
+    """term, chunk_id, document_id, n and r of each chunk's keywords: their count, and rank by (count desc, first position).
+
+    A map finds the keywords of a chunk without an exchange; chunks whose id occurs again are counted together by one.
+    """
+    again = chunks.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("id").alias("again"))
+    same = F.col("id").eqNullSafe(F.col("again"))
+    alone, several = (chunks.join(F.broadcast(again), same, how) for how in ("left_anti", "left_semi"))  # few ids, if any
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stop = pa.array(sorted(STOPWORDS))
+        for part, size, tokens in token_parts(batches):
+            coded = tokens.dictionary_encode()
+            word = coded.dictionary
+            fit = pc.and_not(pc.greater_equal(pc.binary_length(word), 3), pc.or_(pc.is_in(word, stop), pc.match_substring_regex(word, "^[0-9]+$")))
+            fit, code = fit.to_numpy(zero_copy_only=False).astype(bool), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            at = np.flatnonzero(fit[code])
+            key, first, n = np.unique(np.repeat(np.arange(len(size)), size)[at] * max(1, len(word)) + code[at], return_index=True, return_counts=True)
+            row, code = key // max(1, len(word)), key % max(1, len(word))
+            order = np.lexsort((first, -n, row))
+            row, code, n = row[order], code[order], n[order]
+            r = np.arange(len(row)) - np.searchsorted(row, row) + 1
+            row, code, n, r = (x[r <= most] for x in (row, code, n, r))
+            yield pa.RecordBatch.from_arrays([word.take(pa.array(code)), part.column("chunk_id").take(pa.array(row)), part.column("document_id").take(pa.array(row)), pa.array(n), pa.array(r)], ["term", "chunk_id", "document_id", "n", "r"])
+
+    words = alone.select(F.col("id").alias("chunk_id"), "document_id", X.tokens(F.col("text")).alias("tokens"))
+    kinds = dict(words.dtypes)
+    top = words.mapInArrow(run, f"term string, chunk_id {kinds['chunk_id']}, document_id {kinds['document_id']}, n long, r long")
+    words = several.select(F.col("id").alias("chunk_id"), "document_id", F.posexplode(X.tokens(F.col("text"))).alias("pos", "term"))
+    words = words.where((F.octet_length("term") >= 3) & ~F.col("term").isin(sorted(STOPWORDS)) & ~F.col("term").rlike("^[0-9]+$"))
+    tf = words.groupBy("chunk_id", "document_id", "term").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    rest = tf.withColumn("r", F.row_number().over(W.partitionBy("chunk_id").orderBy(F.desc("n"), "first")).cast("long")).where(F.col("r") <= most)
+    return top.unionByName(rest.select("term", "chunk_id", "document_id", "n", "r"))
+
+
 def keyword_table(chunks: DataFrame, most: int = 12) -> DataFrame:
     """chunk_id, document_id, term, weight and rank of each chunk's keywords, weighted by document frequency.
 
     Weight: 1 + ln(count), times max(ln(documents / df), 0.15) where there is more than one document; df counts documents
     that keep the term as a keyword.
     """
-    words = chunks.select(F.col("id").alias("chunk_id"), "document_id", F.posexplode(X.tokens(F.col("text"))).alias("pos", "term"))
-    words = words.where((F.octet_length("term") >= 3) & ~F.col("term").isin(sorted(STOPWORDS)) & ~F.col("term").rlike("^[0-9]+$"))
-    tf = words.groupBy("chunk_id", "document_id", "term").agg((1 + F.log(F.count("*"))).alias("tf"), F.min("pos").alias("first"))
-    top = tf.withColumn("r", F.row_number().over(W.partitionBy("chunk_id").orderBy(F.desc("tf"), "first"))).where(F.col("r") <= most)
+    top = keyword_rows(chunks, most).select("chunk_id", "document_id", "term", (1 + F.log("n")).alias("tf"), "r")
     df = term_df(top)
     total = chunks.agg(F.countDistinct("document_id").alias("documents"))
     weight = F.when(F.col("documents") > 1, F.col("tf") * F.greatest(F.log(F.col("documents") / F.col("df")), F.lit(0.15))).otherwise(F.col("tf"))

@@ -14,7 +14,7 @@ import pytest
 import __spark_entry__ as entry
 from sparkloom import queries as catalogue
 from sparkloom.config import Config
-from sparkloom.operators import embed
+from sparkloom.operators import embed, knowledge, lexical
 
 
 @pytest.fixture(scope="module")
@@ -69,6 +69,22 @@ def test_file_types_count_files_without_text(spark, tmp_path):
     agrees(spark, tmp_path, {"documents": docs}, ["file_types"])
 
 
+def test_keywords_are_found_where_the_texts_are(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lexical, "PART", 9)
+    r = random.Random(8)
+    words = "Ähre ähre apple Apple pears plum fig figs the and 2024 x9y cherry date elder grape kiwi lemon mango nut olive peach é日 日本語 a1".split()
+    rows = [(i, " ".join(r.choices(words, k=r.randrange(60)))) for i in range(40)] + [(50, None), (51, ""), (52, "the and 12"), (3, "olive olive plum"), (3, "kiwi"), (None, "grape grape nut"), (None, "nut")]
+    docs = pd.DataFrame({"doc_id": pd.array([i for i, _ in rows], "Int64"), "text": [t for _, t in rows], "lang": "en", "source": "s"})
+    agrees(spark, tmp_path, {"documents": docs}, ["term_df"])
+    agrees(spark, tmp_path, {"documents": docs.dropna(subset=["doc_id"])}, ["keywords", "term_df"])
+    # only keywords travel, at most 12 a document: no exchange stands before the map's result
+    once = docs.drop_duplicates("doc_id").dropna(subset=["doc_id"])
+    once.to_parquet(tmp_path / "documents.parquet")
+    got = knowledge.keyword_rows(catalogue._docs(spark, str(tmp_path)))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.count() and plan.index("MapInArrow") < plan.index("Aggregate")
+
+
 def test_lsa_projection_is_the_whole_model(spark, tmp_path):
     r = random.Random(4)
     texts = [" ".join(r.choices([f"w{k}" for k in range(3000)], k=80)) for _ in range(200)]
