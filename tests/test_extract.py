@@ -1,6 +1,7 @@
 import io
 import zipfile
 
+import pyarrow as pa
 import pytest
 
 from sparkloom import config as C
@@ -59,6 +60,14 @@ def test_table_keeps_failures(spark):
     assert got == {"x/a.txt": ("hello\n", None), "x/b.txt": (None, "EmptyInput"), "x/c.pdf": (None, "Unsupported"), None: (None, "EmptyInput")}
 
 
+def test_batches_are_cut_by_bytes():
+    data = [b"x" * n for n in (5, 90, 0, 40, 40, 300, 1, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array([*data, None])], ["i", "content"])
+    parts = list(E.slices(iter([batch, batch.slice(2, 0), batch.slice(3)]), "content", 100))
+    assert [i for p in parts for i in p.column("i").to_pylist()] == [*range(9), *range(3, 9)]
+    assert len(parts) == 5 and all(sum(len(x or b"") for x in p.column("content").to_pylist()[:-1]) <= 100 for p in parts)
+
+
 def test_stream_adds_content_once(spark, tmp_path):
     src, out, check = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "check")
     src.mkdir()
