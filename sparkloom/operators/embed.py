@@ -16,15 +16,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import columns as X
-from ..sources.extract import sha
+from ..sources.extract import sha, slices
 from ..text import tokenize
 
 _SEED, _MASK = 0x9E3779B97F4A7C15, 2**64 - 1
+#: Bytes of text that a task embeds together.
+PART_BYTES = 1 << 19
 
 
 def bucket(token: str, salt: int, dim: int, seed: int = _SEED) -> tuple[int, float]:
@@ -175,8 +178,9 @@ def _gaussian_rows(ids: np.ndarray, width: int) -> np.ndarray:
 def train(chunks: DataFrame, cfg: Config = Config(), power: int = 4) -> LsaModel | None:
     """A model by randomized range finding: Y = A O, then ``power`` times Y = A (A' Y); None for fewer than 4 chunks or 8 terms.
 
-    A is terms x chunks with ln(1 + tf) * ln(1 + N / df). Each pass is a map over chunks with Y broadcast (at most
-    lsa_max_vocab x (lsa_dim + 8)) that returns one matrix a task.
+    A is terms x chunks with ln(1 + tf) * ln(1 + N / df). Texts are read once, into counts of known terms that are kept
+    until the model is made; each pass is a map over them with Y broadcast (at most lsa_max_vocab x (lsa_dim + 8)) that
+    returns one matrix a task.
     """
     n = chunks.count()
     vocab = vocabulary(chunks, cfg)
@@ -189,25 +193,37 @@ def train(chunks: DataFrame, cfg: Config = Config(), power: int = 4) -> LsaModel
     width = min(dim + 8, n)
     spark = chunks.sparkSession
     shared = spark.sparkContext.broadcast((at, idf))
+    code = np.dtype("<u2" if len(terms) <= 1 << 16 else "<u4")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = shared.value[0]
+        for b in slices(batches, "text", PART_BYTES):
+            rows = []
+            for i, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
+                counts = Counter(t for t in tokenize(text or "") if t in at)
+                if counts:
+                    rows.append((i, np.fromiter((at[t] for t in counts), code, len(counts)).tobytes(), np.fromiter(counts.values(), "<u4", len(counts)).tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (b.column("id").type, pa.binary(), pa.binary()))], ["id", "terms", "counts"])
+
+    counted = chunks.select("id", "text").mapInArrow(count, f"id {dict(chunks.dtypes)['id']}, terms binary, counts binary").persist(StorageLevel.MEMORY_AND_DISK)
 
     def a_pass(y: np.ndarray | None) -> np.ndarray:
         held = spark.sparkContext.broadcast(y)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at, idf = shared.value
+            idf = shared.value[1]
             total = np.zeros((len(idf), width))
             for b in batches:
-                for i, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
-                    counts = Counter(t for t in tokenize(text or "") if t in at)
-                    if counts:
-                        k = np.fromiter((at[t] for t in counts), np.int64, len(counts))
-                        a = np.log1p(np.fromiter(counts.values(), float, len(counts))) * idf[k]
-                        row = _gaussian_rows(np.array([i]), width)[0] if held.value is None else a @ held.value[k]
-                        total[k] += np.outer(a, row)
+                for i, terms, counts in zip(*(b.column(c).to_pylist() for c in ("id", "terms", "counts"))):
+                    k = np.frombuffer(terms, code).astype(np.int64)
+                    a = np.log1p(np.frombuffer(counts, "<u4").astype(float)) * idf[k]
+                    row = _gaussian_rows(np.array([i]), width)[0] if held.value is None else a @ held.value[k]
+                    total[k] += np.outer(a, row)
             used = np.flatnonzero(np.abs(total).sum(1))
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(list(total[used]), pa.list_(pa.float64()))], ["term", "row"])
 
-        parts = chunks.select("id", "text").mapInArrow(run, "term int, row array<double>").select("term", F.posexplode("row").alias("d", "v")).groupBy("term", "d").agg(F.sum("v").alias("v")).toArrow()
+        parts = counted.mapInArrow(run, "term int, row array<double>").select("term", F.posexplode("row").alias("d", "v")).groupBy("term", "d").agg(F.sum("v").alias("v")).toArrow()
         out = np.zeros((len(terms), width))
         out[parts.column("term").to_numpy(), parts.column("d").to_numpy()] = parts.column("v").to_numpy()
         held.unpersist()
@@ -216,6 +232,7 @@ def train(chunks: DataFrame, cfg: Config = Config(), power: int = 4) -> LsaModel
     y = a_pass(None)
     for _ in range(power):
         y = a_pass(y / max(np.abs(y).max(), 1e-300))
+    counted.unpersist()
     best = np.argsort(-(y**2).sum(0), kind="stable")[:dim]
     q: list[np.ndarray] = []
     for c in best:  # modified Gram-Schmidt
@@ -235,29 +252,15 @@ def embedded(chunks: DataFrame, model: HashingEmbedder | LsaModel) -> DataFrame:
     name = model.name
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "text", PART_BYTES):
             texts = [t or "" for t in b.column("text").to_pylist()]
-            rows = []
-            for part in _parts(texts):
-                rows += list(shared.value.embed_all(part).astype(np.float32) if isinstance(shared.value, HashingEmbedder) else [shared.value.embed(t).astype(np.float32) for t in part])
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(rows, pa.list_(pa.float32())), pa.array([name] * len(rows))], ["id", "vector", "embedding_model"])
+            v = shared.value.embed_all(texts) if isinstance(shared.value, HashingEmbedder) else np.array([shared.value.embed(t) for t in texts])
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * v.shape[1]), pa.array(v.astype(np.float32).ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), vectors, pa.array([name] * len(texts))], ["id", "vector", "embedding_model"])
 
     return chunks.select("id", "text").mapInArrow(run, "id long, vector array<float>, embedding_model string")
 
 
-def _parts(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
-    """Texts of about ``most`` characters together."""
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t)
-        if size >= most:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
 def stale(chunks: DataFrame, target: str) -> DataFrame:
     """Chunks whose vectors come from another model, or none."""
     return chunks.where(~F.col("embedding_model").eqNullSafe(F.lit(target)))

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,6 +138,31 @@ def test_lsa_finds_related_words(spark):
     assert np.allclose(np.abs(again.vectors.T @ m.vectors), np.eye(4), atol=1e-5)
 
 
+def test_lsa_reads_texts_once_for_all_passes(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(t: str) -> str:
+        read.add(1)
+        return t
+
+    rows = [(i, " ".join(random.Random(i).choices([f"w{k}" for k in range(40)], k=12))) for i in range(50)]
+    t = spark.createDataFrame(rows, "id long, text string").withColumn("text", F.udf(seen)("text"))
+    assert embed.train(t, C.Config(lsa_dim=4)).dim == 4
+    assert read.value <= 3 * len(rows)  # the vocabulary and the counts; each of five passes before
+    assert not spark.sparkContext._jsc.getPersistentRDDs().size()
+
+
+def test_hashing_embeds_a_bounded_part_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(embed, "PART_BYTES", 50)
+    texts = [None, "", *(" ".join(random.Random(i).choices("über den see fährt ein boot mit wind".split(), k=i)) for i in range(40))]
+    t = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    model = embed.HashingEmbedder(64)
+    got = {r["id"]: r["vector"] for r in embed.embedded(t, model).collect()}
+    assert len(got) == len(texts) and all(np.allclose(got[i], model.embed(x or ""), atol=1e-6) for i, x in enumerate(texts))
+    held = [b.num_rows for b in embed.slices(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]), "text", embed.PART_BYTES)]
+    assert len(held) > 20
+
+
 def test_graph(spark):
     e = spark.createDataFrame([("a", "b", 5), ("a", "c", 1), ("b", "d", 2), ("d", "e", 9)], "source string, target string, weight long")
     assert [r["other"] for r in graph.neighbors(e, "a", 1).collect()] == ["b"]
