@@ -207,6 +207,7 @@ def train(chunks: DataFrame, cfg: Config = Config(), power: int = 4) -> LsaModel
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (b.column("id").type, pa.binary(), pa.binary()))], ["id", "terms", "counts"])
 
     counted = chunks.select("id", "text").mapInArrow(count, f"id {dict(chunks.dtypes)['id']}, terms binary, counts binary").persist(StorageLevel.MEMORY_AND_DISK)
+    few = counted.coalesce(max(1, spark.sparkContext.defaultParallelism))  # each task sends a matrix: as many as cores, however many files
 
     def a_pass(y: np.ndarray | None) -> np.ndarray:
         held = spark.sparkContext.broadcast(y)
@@ -223,7 +224,7 @@ def train(chunks: DataFrame, cfg: Config = Config(), power: int = 4) -> LsaModel
             used = np.flatnonzero(np.abs(total).sum(1))
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(list(total[used]), pa.list_(pa.float64()))], ["term", "row"])
 
-        parts = counted.mapInArrow(run, "term int, row array<double>").select("term", F.posexplode("row").alias("d", "v")).groupBy("term", "d").agg(F.sum("v").alias("v")).toArrow()
+        parts = few.mapInArrow(run, "term int, row array<double>").select("term", F.posexplode("row").alias("d", "v")).groupBy("term", "d").agg(F.sum("v").alias("v")).toArrow()
         out = np.zeros((len(terms), width))
         out[parts.column("term").to_numpy(), parts.column("d").to_numpy()] = parts.column("v").to_numpy()
         held.unpersist()
